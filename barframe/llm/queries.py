@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import decontaminate, jaccard, packing, pii, topk
-from barframe.llm.common import doc_text, table
+from barframe.llm import decontaminate, jaccard, language, licenses, packing, pii, quality, secrets, topk, toxicity
+from barframe.llm.common import crc_mod, doc_text, table
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -35,6 +35,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_kinds("pii_spans", pii.KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    found = language.identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_files(), with_ids=False)
 
@@ -48,21 +54,57 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    found = quality.score(doc_text(docs), quality.train(docs, labels, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("license_places", lambda x: x["base"])
+
+    def labels(places: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda x: x["label"]))), ",")
+
+    words = F.transform(base, lambda x: x["word"])
+    n = F.size("license_places")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("license_places")).alias("labels"), (n / (n + F.lit(1.0))).alias("score"),
+    )
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, "vec_id", "embedding", vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    found = toxicity.score(doc_text(docs), toxicity.train(docs, labels, ~held_out))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.get("tox_hits", F.lit(0)).alias("n_exact"), F.get("tox_hits", F.lit(1)).alias("n_misspelled"), F.get("tox_hits", F.lit(2)).alias("n_quoted"),
+    )
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(doc_text(table(spark, sf_dir, "documents"))).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    names = tuple(r.name for r in secrets.BASE)
+    base = F.filter("secret_spans", lambda x: x["kind"].isin(*names))
+    return found.select("doc_id", *_kinds("secret_spans", names), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("secret_spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pii": op1_pii,
-    "op3_packing": op3_packing,
-    "op4_decontaminate": op4_decontaminate,
-    "op7_topk": op7_topk,
-    "op9_jaccard": op9_jaccard,
+    f.__name__: f
+    for f in (op1_pii, op2_language, op3_packing, op4_decontaminate, op5_quality, op6_licenses, op7_topk, op8_toxicity, op9_jaccard, op10_secrets)
 }
 
 ORACLE_SQL: dict[str, str] = {}
