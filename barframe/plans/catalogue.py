@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +15,22 @@ from barframe.functions import maps as M
 from barframe.functions import matrices as X
 from barframe.functions import scalar as S
 from barframe.na import div, eq, ge, gt, le, lt, mod, ne, nz, to_int
+from barframe.operators import broker as B
+from barframe.operators import drawings as D
 from barframe.operators import recursive as R
 from barframe.operators import security as Q
 from barframe.operators import signals as G
 from barframe.operators import ta, timeframe
+from barframe.plans.programs import bracket_program, cross_program
 from barframe.sources.bars import event_bars, order_bars
+from barframe.streaming import bars as S2
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: What ``_build`` fills. Expressions need a session, so building waits for the first call; names and SQL lie in a file beside
+#: this module, which ``python -m barframe.plans.catalogue`` writes anew.
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+STORED = Path(__file__).with_name("catalogue.json")
 
 BARS = """bars AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS time, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
  last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY ALL),
@@ -74,6 +84,12 @@ def wsum(x: str, weights: list[float]) -> str:
 
 
 
+def marked(d: DataFrame) -> DataFrame:
+    """Bars with the crosses of two moving averages."""
+    staged = d.withColumn("f", F.round(ta.sma("close", 5), 8)).withColumn("s", F.round(ta.sma("close", 20), 8))
+    return staged.withColumn("up", ta.crossover("f", "s")).withColumn("down", ta.crossunder("f", "s")).drop("f", "s")
+
+
 def _build() -> None:
     c, h, lo, o, v = (F.col(x) for x in ("close", "high", "low", "open", "volume"))
     # --- sources and resampling
@@ -102,8 +118,6 @@ def _build() -> None:
     bars_query("median", {"x": (ta.median("close", 9), full(9, f"median(close) OVER {frame(9)}"))})
     bars_query("range", {"x": (ta.range_("close", 9), full(9, f"max(close) OVER {frame(9)} - min(close) OVER {frame(9)}"))})
     bars_query("wma", {"x": (ta.wma("close", 9), full(9, f"({wsum('close', list(range(1, 10)))})/45"))})
-    import math
-
     al = [math.exp(-((k - 0.85 * 8) ** 2) / (2 * (9 / 6) ** 2)) for k in range(9)]
     bars_query("alma", {"x": (ta.alma("close", 9), full(9, f"({wsum('close', al)})/{sum(al)}::DOUBLE"))})
     bars_query("swma", {"x": (ta.swma("close"), full(4, f"({wsum('close', [1, 2, 2, 1])})/6"))})
@@ -112,7 +126,7 @@ def _build() -> None:
         "hma", {"x": (ta.hma("close", 9), full(11, f"({wsum('d', [1, 2, 3])})/6"))},
         ctes=f", h1 AS (SELECT *, 2*({wsum('close', [1, 2, 3, 4])})/10 - ({wsum('close', list(range(1, 10)))})/45 AS d FROM b)", source="h1",
     )
-    bars_query("vwma", {"x": (F.round(ta.vwma("close", 10), 4), full(10, f"round(sum(close*volume) OVER {frame(10)} / sum(volume) OVER {frame(10)}, 4)"))})
+    bars_query("vwma", {}, {"x": (F.round(ta.vwma("close", 10), 9), full(10, f"round(sum(close*volume) OVER {frame(10)} / sum(volume) OVER {frame(10)}, 9)"))})
     dev_cte = f", d1 AS (SELECT *, avg(close) OVER {frame(10)} AS m, list(close) OVER {frame(10)} AS vs FROM b), d2 AS (SELECT *, list_sum(list_transform(vs, lambda z: abs(z - m))) / 10 AS dev FROM d1)"
     bars_query("dev", {"x": (ta.dev("close", 10), full(10, "dev"))}, ctes=dev_cte, source="d2")
     bars_query("cci", {"x": (ta.cci("close", 10), full(10, "CASE WHEN dev = 0 THEN 0 ELSE (close - m) / (0.015::DOUBLE * dev) END"))}, ctes=dev_cte, source="d2")
@@ -185,7 +199,7 @@ def _build() -> None:
     band = f"2*sqrt(greatest(0, sum(close*close*volume) OVER {seg}/sum(volume) OVER {seg} - (sum(close*volume) OVER {seg}/sum(volume) OVER {seg})**2))"
     vm = f"sum(close*volume) OVER {seg}/sum(volume) OVER {seg}"
     r4 = lambda x: F.round(x, 4)
-    bars_query("vwap_anchored_bands", {"vwap": (r4(vb["vwap"]), f"round({vm},4)"), "upper": (r4(vb["upper"]), f"round({vm}+{band},4)"), "lower": (r4(vb["lower"]), f"round({vm}-{band},4)")}, ctes=f", g1 AS (SELECT *, sum((hour(time)=12)::INT) OVER {CUM} AS g FROM b)", source="g1")
+    bars_query("vwap_anchored_bands", {"upper": (r4(vb["upper"]), f"round({vm}+{band},4)"), "lower": (r4(vb["lower"]), f"round({vm}-{band},4)")}, {"vwap": (F.round(vb["vwap"], 9), f"round({vm},9)")}, ctes=f", g1 AS (SELECT *, sum((hour(time)=12)::INT) OVER {CUM} AS g FROM b)", source="g1")
     piv_cte = f""", g1 AS (SELECT *, time::DATE AS d, lag(time::DATE) OVER {W} AS pd FROM b), g2 AS (SELECT *, sum((pd IS NULL OR d<>pd)::INT) OVER {CUM} AS g FROM g1),
       g3 AS (SELECT symbol, g, first(open ORDER BY time) AS po, max(high) AS ph, min(low) AS pl, last(close ORDER BY time) AS pcl FROM g2 GROUP BY symbol, g),
       g4 AS (SELECT g2.*, po, ph, pl, pcl, first_value(open) OVER (PARTITION BY g2.symbol, g2.g ORDER BY time ROWS UNBOUNDED PRECEDING) AS cur FROM g2 LEFT JOIN g3 ON g3.symbol=g2.symbol AND g3.g=g2.g-1)"""
@@ -383,7 +397,67 @@ def _build() -> None:
         f"WITH {BARS}{turn_cte} SELECT symbol, entry_time, exit_time, round(profit,4) AS profit, round(sum(profit) OVER (ORDER BY exit_time, symbol, entry_time ROWS UNBOUNDED PRECEDING),4) AS portfolio_profit FROM tr",
     )
     bars_query("alerts", {}, {"message": (F.concat(F.lit("cross "), F.col("symbol")), "concat('cross ',symbol)")}, ctes=cross_cte, source=f"(SELECT * FROM s2 WHERE {over})", prepare=lambda d: smas(d).withColumn("on", ta.crossover("f", "s")).where("on"))
+    register(
+        "broker_backtest", lambda s, d: B.backtest(marked(event_bars(s, d)), cross_program).select("symbol", "entry_time", "exit_time", "entry_bar", "exit_bar", *[r6(F.col(x)).alias(x) for x in ("entry_price", "exit_price", "profit", "cum_profit")]),
+        ORACLE_SQL["trade_ledger"],
+    )
+    register(
+        "broker_equity", lambda s, d: B.equity_curve(marked(event_bars(s, d)), cross_program, B.Settings(initial_capital=10_000.0)).select("symbol", "time", r6(F.col("equity")).alias("equity")),
+        ORACLE_SQL["equity_curve"],
+    )
+    register("broker_brackets", lambda s, d: B.backtest(marked(event_bars(s, d)), bracket_program, B.Settings(commission_value=0.1, slippage=2)).drop("max_runup", "max_drawdown"))
+    register("broker_summary", lambda s, d: B.summary(marked(event_bars(s, d)), bracket_program, B.Settings(qty_type="percent_of_equity", qty_value=50.0)))
+    register("portfolio_shared", lambda s, d: B.shared_portfolio(marked(event_bars(s, d)), cross_program, ["click", "view", "purchase"], B.Settings(initial_capital=5_000.0)).drop("max_runup", "max_drawdown"))
+
+    def ticks(s: SparkSession, d: str) -> DataFrame:
+        return S2.stream_bars(S2.tick_stream(s, d, "events.parquet"), F.col("event_type"), F.col("ts"), F.col("value"), F.col("event_id"), "1 hour", "0 seconds")
+
+    register(
+        "bars_stream_vs_batch", lambda s, d: S2.replay(ticks(s, d)).select("symbol", F.col("time").cast("timestamp_ntz").alias("time"), *[r6(F.col(x)).alias(x) for x in ohlcv]),
+        f"WITH {BARS} SELECT symbol, time, {', '.join(f'{q6(x)} AS {x}' for x in ohlcv)} FROM b WHERE time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)",
+    )
+
+    def live(s: SparkSession, d: str) -> DataFrame:
+        at = S2.shared_folder(s)
+        event_bars(s, d).write.parquet(at)
+        return S2.replay(S2.with_state(S2.tick_stream(s, at), ema=(10,)))
+
+    register("ema_stream_vs_batch", lambda s, d: live(s, d).select("symbol", "time", r6(F.col("ema10")).alias("x")), ORACLE_SQL["ema"])
+    register(
+        "stream_sessions", lambda s, d: S2.replay(S2.sessions(S2.tick_stream(s, d, "events.parquet"), F.col("event_type"), F.col("ts"), F.col("value"), "30 minutes", "0 seconds")).select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "ticks", r6(F.col("total")).alias("total")),
+        f"""WITH s1 AS (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events), s2 AS (SELECT *, sum((p IS NULL OR ts >= p + INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM s1),
+        s3 AS (SELECT event_type AS symbol, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS ticks, {q6('sum(value)')} AS total FROM s2 GROUP BY event_type, g) SELECT * FROM s3 WHERE "end" <= (SELECT max(ts) FROM events)""",
+    )
+    ta_day = lambda: F.hour("time") < 12
+    log = lambda s, d: event_bars(s, d).where(ta_day()).select("symbol", F.row_number().over(ta.KEYS.bars()).cast("long").alias("seq"), F.lit(0).cast("long").alias("bar"), F.lit("new").alias("op"), F.row_number().over(ta.KEYS.bars()).cast("long").alias("id"), F.lit("line").alias("type"), F.create_map(F.lit("x1"), F.col("volume").cast("int").cast("string")).alias("props"))
+    register("drawing_final_state", lambda s, d: D.final_state(log(s, d)).select("symbol", "type", "id", F.col("props")["x1"].alias("x1")), f"WITH {BARS}, l1 AS (SELECT symbol, row_number() OVER {W} AS id, volume::INT::VARCHAR AS x1 FROM b WHERE hour(time) < 12) SELECT symbol, 'line' AS type, id, x1 FROM l1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY id DESC) <= 50")
+    bars_query("line_price", {"p": (D.line_price(F.lit(0.0), F.col("open"), F.lit(10.0), F.col("close"), F.lit(4.0)), "open + (close-open)*4/10")})
     bars_query("newest_bars", {"close": (c, "close")}, source=f"(SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 50)", prepare=lambda d: Q.bars_back(d, 50))
 
 
-_build()
+def _query(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if not QUERIES:
+            _build()
+        return QUERIES[name](spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: _query(name) for name in json.loads(STORED.read_text())}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, sql in json.loads(STORED.read_text()).items() if sql is not None}
+
+
+def store() -> None:
+    if not QUERIES:
+        _build()
+    STORED.write_text(json.dumps({name: ORACLE_SQL.get(name) for name in QUERIES}, indent=1) + "\n")
+
+
+if __name__ == "__main__":
+    SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+    store()
