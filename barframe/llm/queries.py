@@ -50,7 +50,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["length"])
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "longest_match",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 
 
@@ -107,4 +107,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_pii, op2_language, op3_packing, op4_decontaminate, op5_quality, op6_licenses, op7_topk, op8_toxicity, op9_jaccard, op10_secrets)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _license_sql() -> str:
+    def places(phrase: str) -> str:
+        words = phrase.split()
+        return f"list_filter(generate_series(1, len(w)), lambda p: w[p:p+{len(words) - 1}] = {words!r})"
+
+    found = []
+    for t in licenses.TEMPLATES:
+        key = f"CASE WHEN len({places(t.key)}) > 0 THEN {places(t.words)} ELSE [] END" if t.key else places(t.words)
+        found.append((t, key))
+    base = ", ".join(x for t, x in found if t.base)
+    every = ", ".join(x for _, x in found)
+
+    def labels(some) -> str:
+        parts = ", ".join(f"CASE WHEN len({x}) > 0 THEN '{t.label}' END" for t, x in some)
+        return f"array_to_string(list_sort(list_filter([{parts}], lambda x: x IS NOT NULL)), ',')"
+
+    return f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT doc_id, w, flatten([{base}]) AS b, flatten([{every}]) AS e, {labels([x for x in found if x[0].base])} AS bl, {labels(found)} AS al FROM d)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(b)::BIGINT AS n_base, (list_min(b) - 1)::BIGINT AS first_word, (list_max(b) - 1)::BIGINT AS last_word, bl AS base_labels, al AS labels, len(e) / (len(e) + 1.0::DOUBLE) AS score FROM p"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+      i2 AS (SELECT item, w, least(10, len(w)) AS m FROM i WHERE len(w) > 0), i3 AS (SELECT item, w, m, unnest(generate_series(1, len(w) - m + 1)) AS o FROM i2), win AS (SELECT DISTINCT item, m, array_to_string(w[o:o+m-1], ' ') AS k FROM i3),
+      p1 AS (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m), pos AS (SELECT doc_id, m, p, array_to_string(w[p:p+m-1], ' ') AS k FROM p1),
+      hit AS (SELECT pos.doc_id, pos.p, pos.m, win.item FROM pos JOIN win ON win.m = pos.m AND win.k = pos.k), cov AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(generate_series(p, p + m - 1)) AS q FROM hit) GROUP BY doc_id),
+      its AS (SELECT doc_id, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+      SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(cov.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, coalesce(its.s, sha256('')) AS items_sha256, cov.n IS NOT NULL AS contaminated FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op6_licenses": _license_sql(),
+    "op7_topk": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+      s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda p: concat_ws(' ', w[p], w[p+1], w[p+2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+      x AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s), c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+      l AS (SELECT a, b FROM c WHERE 100 * c >= 90 * (na + nb - c)), r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+      SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, s.g""",
+}
