@@ -398,3 +398,19 @@ def test_language(corpus, empty):
 
 def test_digest():
     assert decontaminate.digest(["2", "10"]) == hashlib.sha256(b"10,2").hexdigest()
+
+
+@pytest.mark.parametrize("levels", [0, 2])
+def test_jaccard_hubs(spark, monkeypatch, levels):
+    """Every bucket is large: hubs, buckets outside the hub and through the hub, and the full comparison at the end."""
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    monkeypatch.setattr(jaccard, "LEAST_COUNT", 2)
+    r = np.random.default_rng(11)
+    base, other = prose(160, 61), prose(200, 62)
+    texts = [edited(base, int(r.integers(0, 14)), r) for _ in range(45)]
+    second = [edited(base, 12, r) for _ in range(4)]  # versions far from the base, each with close copies of its own
+    texts += [edited(s, int(r.integers(0, 3)), r) for s in second for _ in range(6)]
+    words = other.split()
+    texts += [" ".join(words[: 200 - 7 * k]) for k in range(14)]  # shorter and shorter beginnings: links only between neighbours
+    check_components(spark, [texts[i] for i in r.permutation(len(texts))])
