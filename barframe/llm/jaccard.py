@@ -8,9 +8,13 @@ extended by k = floor((1/s - 1) n) + 2 tokens: two similar sets then share k tok
 k - 1, so at least one pair of neighbours in the order is neighbours in both; such pairs of frequent tokens are the keys.
 Candidates pass a length and a position filter and are verified on whole sets.
 
-No group is expanded into all its pairs. Every bucket first tests its members against one hub; connected members
-need no more tests. Buckets still in several components get further hubs, and what then remains is tested across its
-components only. No link between different sets that could change a component is lost.
+No group is expanded into all its pairs. A bucket of few members is compared at once; a larger one is tested against one
+hub, its member with the fewest rare tokens, which is the original where the others are edited copies. If all members link
+with the hub they are one component. Else let o(x) be a member's overlap with the hub h and A(x) its tokens outside h: the
+overlap of x and y is at most min(o(x), o(y)) + |A(x) & A(y)|. A member x can only link with a y through tokens of the hub alone if y is
+no larger than (1 + 1/s) o(x) - n(x); those members form a smaller bucket with another hub. Every other link needs a
+shared token outside the hub, so the members are indexed again by (h, token of A) and the resulting buckets are treated
+alike. After ``LEVELS`` such steps what is left is compared in full. No link is lost.
 
 Null and wordless texts have an empty set and link with nothing; texts with fewer words than a shingle have one shingle, their
 whole sequence. Repeated rows of one doc_id are nodes of their own.
@@ -18,6 +22,7 @@ whole sequence. Repeated rows of one doc_id are nodes of their own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barframe.llm.common import cut
+from barframe.llm.common import cut, drop
 
 WORDS, SIMILARITY = 3, 90
 #: Entries of the list of frequent tokens, ids in one broadcast, members of a bucket that are compared at once.
-FREQUENT, BROADCAST_IDS, SMALL = 1 << 17, 200_000, 6
-LEAST_COUNT, ROUNDS, PART_BYTES = 4, 3, 1 << 20
+FREQUENT, BROADCAST_IDS, SMALL = 1 << 17, 1 << 19, 6
+LEAST_COUNT, LEVELS, PART_BYTES, PAIR_ROWS = 4, 2, 1 << 20, 500
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -92,6 +97,12 @@ def _shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def _marks(tokens: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    u = tokens.view(np.uint64)
+    return int(_mix(u).sum(dtype=np.uint64).view(np.int64)), int(_mix(u + _BASE).sum(dtype=np.uint64).view(np.int64))
+
+
 def _bytes(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
@@ -118,11 +129,11 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS, entries: int = FREQUENT
     return [(r["token"], r["class"]) for r in classes.where(F.col("class") >= low).select("token", "class").collect()] if held else []
 
 
-def prefix_keys(tokens: np.ndarray, listed: np.ndarray, classes: np.ndarray, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of one set and the place in the order of each (0 for pairs)."""
+def prefix_keys(tokens: np.ndarray, listed: np.ndarray, classes: np.ndarray, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index keys of one set, the place in the order of each (0 for pairs), and how many of its tokens are rare."""
     n = len(tokens)
     if n * (100 - similarity) < similarity:  # smaller sets have no similar set but their equals
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), n
     p = n - -(-similarity * n // 100) + 1
     cls = np.zeros(n, np.int64)
     if len(listed):
@@ -137,7 +148,7 @@ def prefix_keys(tokens: np.ndarray, listed: np.ndarray, classes: np.ndarray, sim
         often = tokens[often[np.lexsort((tokens[often], cls[often]))]][: max(room, 0)].view(np.uint64)
         pairs = _mix(often[:-1] * _BASE + often[1:] + np.uint64(1)).view(np.int64)
         keys, places = np.concatenate([keys, pairs]), np.concatenate([places, np.zeros(len(pairs), np.int32)])
-    return keys, places
+    return keys, places, int((cls == 0).sum())
 
 
 def _indexed(docs: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -150,16 +161,15 @@ def _indexed(docs: DataFrame, words: int, similarity: int) -> DataFrame:
         classes = np.array([c for _, c in shared.value], np.int64) + 1
         for batch in batches:
             sets = shingles(_bytes(batch), words)
-            u = [s.view(np.uint64) for s in sets]
-            s1 = [int(_mix(x).sum(dtype=np.uint64).view(np.int64)) for x in u]
-            s2 = [int(_mix(x + _BASE).sum(dtype=np.uint64).view(np.int64)) for x in u]
+            marks = [_marks(s) for s in sets]
             found = [prefix_keys(s, listed, classes, similarity) for s in sets]
-            off = pa.array(np.concatenate([[0], np.cumsum([len(k) for k, _ in found])]).astype(np.int32))
-            keys = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *[k for k, _ in found]])))
-            places = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int32), *[p for _, p in found]])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), keys, places], names=["doc_id", "n", "s1", "s2", "keys", "places"])
+            off = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32))
+            keys = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *[f[0] for f in found]])))
+            places = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int32), *[f[1] for f in found]])))
+            odd = pa.array([f[2] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), odd, pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), keys, places], names=["doc_id", "n", "odd", "s1", "s2", "keys", "places"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, places array<int>")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, odd long, s1 long, s2 long, keys array<long>, places array<int>")
     return cut(rows.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -168,37 +178,102 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """s1, s2, tokens of the wanted classes, from the texts of their representatives."""
-    ids = _few(cut(wanted.select("doc_id").distinct()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingles(_bytes(batch), words)
-            u = [s.view(np.uint64) for s in sets]
-            off = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([int(_mix(x).sum(dtype=np.uint64).view(np.int64)) for x in u], pa.int64()),
-                pa.array([int(_mix(x + _BASE).sum(dtype=np.uint64).view(np.int64)) for x in u], pa.int64()),
-                pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))),
-            ], names=["s1", "s2", "tokens"])
-
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    return texts.mapInArrow(run, "s1 long, s2 long, tokens array<long>")
+def _similar(n: Column, m: Column, overlap: Column, similarity: int) -> Column:
+    return (100 + similarity) * overlap >= similarity * (n + m)
 
 
-def _possible(similarity: int) -> Column:
-    """Length and position filter of a pair (n, place) and (hub_n, hub_place)."""
-    most = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
-    return (100 + similarity) * most >= similarity * (F.col("n") + F.col("hub_n"))
+def _tested(docs: DataFrame, pairs: DataFrame, known: DataFrame, words: int, similarity: int, repeats: bool) -> DataFrame:
+    """a, b, star, na, nb, overlap, linked, and for star pairs extra, b's tokens outside a.
 
+    Texts travel, not token lists: they are smaller, and a hub's set is made once for the run of its pairs. ``known``
+    tells each node's doc_id and set; where ids repeat, another text under the id is told by its set.
+    """
+    told = cut(pairs.join(known.select(F.col("node").alias("b"), F.col("doc_id").alias("b_id"), F.col("s1").alias("b1"), F.col("s2").alias("b2")), "b"))
+    heads = cut(pairs.select(F.col("a").alias("node")).distinct().join(known, "node").select(F.col("node").alias("a"), F.col("doc_id").alias("a_id"), F.col("s1").alias("a1"), F.col("s2").alias("a2")))
+    left = docs.join(_few(told), docs["doc_id"].eqNullSafe(told["b_id"])).select("a", "b", "star", "b1", "b2", F.col("text").alias("text_b"))
+    hubs = docs.join(_few(heads), docs["doc_id"].eqNullSafe(heads["a_id"])).select("a", "a1", "a2", F.col("text").alias("text_a"))
+    both = left.join(hubs, "a")
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar; ``sets``: node, tokens."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(b, "b").join(a, "a")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * shared >= similarity * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub = None, None
+        for batch in batches:
+            rows = []
+            texts = batch.column("text_a").cast(pa.large_binary()), batch.column("text_b").cast(pa.large_binary())
+            plain = [batch.column(c).to_pylist() for c in ("a", "b", "star", "a1", "a2", "b1", "b2")]
+            for i, (a, b, star, a1, a2, b1, b2) in enumerate(zip(*plain)):
+                if last != (a, a1, a2):
+                    hub = shingles([texts[0][i].as_py()], words)[0]
+                    if _marks(hub) != (a1, a2):
+                        last, hub = None, None
+                        continue
+                    last = (a, a1, a2)
+                own = shingles([texts[1][i].as_py()], words)[0]
+                if _marks(own) == (b1, b2):
+                    shared = np.intersect1d(own, hub, assume_unique=True)
+                    rows.append((a, b, star, len(hub), len(own), len(shared), np.setdiff1d(own, shared, assume_unique=True) if star else np.zeros(0, np.int64)))
+            off = pa.array(np.concatenate([[0], np.cumsum([len(r[6]) for r in rows])]).astype(np.int32))
+            extra = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *[r[6] for r in rows]])))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], extra], names=["a", "b", "star", "na", "nb", "overlap", "extra"])
+
+    counted = both.mapInArrow(run, "a long, b long, star boolean, na long, nb long, overlap long, extra array<long>")
+    counted = counted.dropDuplicates(["a", "b"]) if repeats else counted
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(PAIR_ROWS))
+    try:
+        return cut(counted.withColumn("linked", _similar(F.col("na"), F.col("nb"), F.col("overlap"), similarity)))
+    finally:
+        conf.set(key, before)
+
+
+def _first_buckets(rows: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """key, node, n, place, rank of all index keys that several classes share."""
+    heads = _few(classes.select(F.col("rep").alias("node")))
+    held = rows.join(heads, "node", "left_semi").select("node", "n", "odd", F.explode(F.arrays_zip("keys", "places")).alias("k"))
+    postings = held.select(F.col("k.keys").alias("key"), "node", F.col("n").cast("int").alias("n"), F.col("k.places").alias("place"), F.col("odd").cast("int").alias("rank"), F.lit(False).alias("fixed"))
+    often = postings.groupBy("key").count().where("count > 1").select("key")
+    # similar sets lie in one band of sizes or in neighbouring ones: a bucket holds a band and the one below it
+    band = F.floor(F.log("n") / F.lit(1.0001 * math.log(100 / similarity)))
+    return cut(postings.join(often, "key").withColumn("band", F.explode(F.array(band, band + 1))).withColumn("key", F.xxhash64("key", "band")).drop("band"))
+
+
+def _pairs(buckets: DataFrame, most: Column, similarity: int, complete: bool) -> DataFrame:
+    """a, b, star: what to test in buckets (key, node, n, rank, fixed, and what ``most``, the bound of an overlap, reads of both sides).
+
+    Two fixed members of a bucket are in one component already.
+    """
+    fields = [c for c in buckets.columns if c != "key"]
+    by = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rank", "node", *[c for c in fields if c not in ("rank", "node")])).alias("hub")).where("members > 1")
+    told = cut(buckets.join(by, "key"))
+    large = F.lit(False) if complete else F.col("members") > SMALL
+    possible = _similar(F.col("n"), F.col("hub.n"), most, similarity) & ~(F.col("fixed") & F.col("hub.fixed"))
+    one = told.where((large | ((F.col("members") == 2) & possible)) & (F.col("node") != F.col("hub.node"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), large)
+    few = told.where(~large & (F.col("members") > 2)).drop("hub")
+    within = few.join(few.select("key", F.struct(*fields).alias("hub")), "key").where(F.col("node") < F.col("hub.node")).where(possible)
+    two = within.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.lit(False))
+    return cut(one.unionAll(two).toDF("a", "b", "star").groupBy("a", "b").agg(F.max("star").alias("star")))
+
+
+def _next_buckets(tested: DataFrame, similarity: int, level: int) -> DataFrame:
+    """key, node, n, overlap, outside, rank, fixed: buckets in which members of unfinished stars can still link.
+
+    By its own size a member needs at least s n - o tokens in common outside the hub, so a prefix of those is indexed.
+    """
+    star = tested.where("star").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), "overlap", F.size("extra").alias("outside"), "extra", "linked")
+    reach = F.floor((100 + similarity) * F.col("overlap") / similarity) - F.col("n")  # the largest partner through hub tokens alone
+    open_ = ~F.col("linked")
+    state = star.groupBy("hub").agg(F.min("n").alias("least"), F.max(F.when(open_, reach)).alias("farthest"), F.max(open_).alias("unfinished")).where("unfinished")
+    rest = cut(star.join(state, "hub").withColumn("core", open_ & (reach >= F.col("least"))))
+    rest = rest.withColumnRenamed("linked", "fixed")
+    out = ["key", "node", "n", "overlap", "outside", "rank", "fixed"]
+    needed = F.greatest(F.lit(1), F.ceil(similarity * F.col("n") / 100) - F.col("overlap"))
+    first = F.slice("extra", 1, F.greatest(F.lit(0), F.col("outside") - needed + 1).cast("int"))
+    outside = rest.select("*", F.posexplode(first).alias("at", "token")).withColumn("key", F.xxhash64("hub", "token")).withColumn("rank", F.col("outside")).withColumn("outside", F.col("outside") - F.col("at"))
+    # a bucket without an unlinked member holds one component
+    useful = outside.groupBy("key").agg(F.max(~F.col("fixed")).alias("some"), F.count("*").alias("members")).where("some and members > 1").select("key")
+    inside = rest.where(F.col("core") | (F.col("n") <= F.col("farthest"))).withColumn("key", F.xxhash64("hub", F.lit(f"core {level}"))).withColumn("rank", F.when(F.col("core"), -F.col("n")).otherwise(F.lit(1 << 30)))
+    return cut(outside.join(useful, "key").select(*out).unionAll(inside.select(*out)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,48 +293,30 @@ def components(edges: DataFrame) -> DataFrame:
 def join_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, and per row its node, class (the node of its representative) and whether it is first of its component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = _indexed(docs, words, similarity)
+    indexed = _indexed(docs, words, similarity)
+    rows = cut(indexed.select("node", "doc_id", "n", "s1", "s2"))
     classes = cut(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("rep"), F.min("doc_id").alias("low")))
-    heads = rows.join(classes.select(F.col("rep").alias("node")), "node")
-    postings = cut(heads.select("node", "n", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "node", "n", F.col("k.places").alias("place")))
-    buckets = postings.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n", "place")).alias("hub")).where("members > 1")
-    shared = cut(postings.join(buckets, "key"))
-    pair = [F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")]
-    hub = [F.col("hub.node").alias("hub_node"), F.col("hub.n").alias("hub_n"), F.col("hub.place").alias("hub_place")]
-    other = shared.where(F.col("members").between(3, SMALL)).select("key", F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"))
-    within = shared.where(F.col("members").between(3, SMALL)).join(other, "key").where("node < hub_node")
-    pairs = cut(
-        shared.select("node", "n", "place", *hub).where("node <> hub_node").where(_possible(similarity)).select(*pair)
-        .unionAll(within.where(_possible(similarity)).select(*pair)).distinct()
-    )
-    graph, links, done, step = None, None, pairs, 0
-    known = classes.select(F.col("rep").alias("node"), "s1", "s2")
-    large = shared.where(F.col("members") > SMALL).select("key", "node", "n", "place")
+    repeats = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    known = cut(classes.select(F.col("rep").alias("node"), "s1", "s2").join(rows.select("node", "doc_id"), "node"))
+    buckets = _first_buckets(indexed, classes, similarity)
+    drop(indexed)
+    most = F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place"))
+    links, level = None, 0
     while True:
-        if not pairs.isEmpty():
-            ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-            wanted = cut(ends.join(known, "node").join(rows.select("node", "doc_id"), "node"))
-            sets = cut(wanted.select("node", "s1", "s2").join(_sets(docs, wanted, words).dropDuplicates(["s1", "s2"]), ["s1", "s2"]).select("node", "tokens"))
-            found = cut(_verified(pairs, sets, similarity))
-            links = found if links is None else links.unionAll(found)
-            graph = components(links)
-        # buckets that are too large to compare at once and still lie in several components: further hubs, and at
-        # last all pairs across their components
-        if graph is None or step > ROUNDS:
+        pairs = _pairs(buckets, most, similarity, level > LEVELS)
+        drop(buckets)
+        if pairs.isEmpty():
             break
-        step += 1
-        marked = large.join(graph, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        split = cut(marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("r"), "node", "n", "place", "label")).alias("hub")).where("x <> y").select("key", "hub"))
-        if split.isEmpty():
+        tested = _tested(docs, pairs, known, words, similarity, repeats)
+        drop(pairs)
+        found = tested.where("linked").select("a", "b")
+        links = found if links is None else links.unionAll(found)
+        if tested.where("star and not linked").isEmpty():
             break
-        if step <= ROUNDS:
-            open_ = marked.join(split, "key").where(F.col("label") != F.col("hub.label")).select("node", "n", "place", *hub)
-        else:
-            rest = marked.join(split.select("key"), "key")
-            second = rest.select("key", F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("label").alias("hub_label"))
-            open_ = rest.join(second, "key").where((F.col("node") < F.col("hub_node")) & (F.col("label") != F.col("hub_label")))
-        pairs = cut(open_.where(_possible(similarity)).select(*pair).distinct().join(done, ["a", "b"], "left_anti"))
-        done = done.unionAll(pairs)
+        level += 1
+        buckets = _next_buckets(tested, similarity, level)
+        most = F.least("overlap", "hub.overlap") + F.least("outside", "hub.outside")
+    graph = None if links is None else components(links)
     if graph is not None:
         of = classes.select(F.col("rep").alias("node"), "low", "s1", "s2", "n").join(graph, "node", "left").withColumn("component", F.coalesce("component", "node"))
     else:
