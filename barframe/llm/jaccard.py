@@ -34,7 +34,7 @@ from barframe.llm.common import cut, drop
 
 WORDS, SIMILARITY = 3, 90
 #: Entries of the list of frequent tokens, ids in one broadcast, members of a bucket that are compared at once.
-FREQUENT, BROADCAST_IDS, SMALL = 1 << 17, 1 << 19, 6
+FREQUENT, BROADCAST_IDS, SMALL = 1 << 17, 1 << 19, 48
 LEAST_COUNT, LEVELS, PART_BYTES, PAIR_ROWS = 4, 2, 1 << 20, 500
 
 _rng = np.random.default_rng(20240607)
