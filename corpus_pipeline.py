@@ -19,9 +19,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, model)
 
 
+#: Near copies, as stages on word shingles take them; op9_jaccard has its own contract.
+COPY_WORDS, COPY_SIMILARITY = 5, 80
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that shingle links connect, the one with the smallest id stays."""
-    return jaccard.keep_one(docs)
+    """Of the documents that links of 5-word shingles and similarity 0.8 connect, the one with the smallest id stays."""
+    return jaccard.keep_one(docs, words=COPY_WORDS, similarity=COPY_SIMILARITY)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """The pipeline's stages on the smallest tables: whole results, own columns, brute force where it is cheap."""
 
+import re
+
 import corpus_pipeline
+import numpy as np
 
 from barframe.llm import common
 
@@ -18,3 +21,38 @@ def test_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def brute_kept(texts, words=5, similarity=80):
+    """The smallest index of each group that links of word shingles connect."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n and 100 * n >= similarity * (len(a) + len(sets[j]) - n):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return {i for i, r in enumerate(root) if r == i}
+
+
+def test_near_copies(spark):
+    """Word edits, cut and added text: links of 5 words and 0.8, not those of op9_jaccard."""
+    r = np.random.default_rng(21)
+    prose = lambda n: [f"w{k}" for k in r.integers(0, 5000, n)]
+    base, other, third = prose(200), prose(150), prose(400)
+    texts = [" ".join(base), " ".join(other), " ".join(third), None, "", "one two"]
+    for edits in (1, 2, 3, 4, 5, 6, 9):
+        for of in (base, third):
+            w = list(of)
+            for k in r.choice(len(w), edits, replace=False):
+                w[k] = f"e{r.integers(1 << 30)}"
+            texts.append(" ".join(w))
+    texts += [" ".join(other[: len(other) - cut]) for cut in (15, 25, 40)] + [" ".join(other + prose(n)) for n in (15, 25, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    want = brute_kept(texts)
+    assert got == want and want != brute_kept(texts, 3, 90)
