@@ -128,8 +128,8 @@ def co_occurrence(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _blocks(df: DataFrame, rows: int, by: str) -> Iterator[list]:
-    """The rows in blocks that fit a broadcast, of a table that was cut before."""
-    n = -(-df.count() // rows)
+    """The rows in blocks that fit a broadcast, of a table that was cut before; an empty table is one empty block."""
+    n = max(1, -(-df.count() // rows))
     for b in range(n):
         yield (df if n == 1 else df.where(F.pmod(F.xxhash64(by), F.lit(n)) == b)).collect()
 

@@ -97,6 +97,18 @@ def test_pii_disclosing_terms(spark):
     assert clean[60] == rows[18][1]
 
 
+def test_pii_no_pair_discloses(spark):
+    """A contact repeated among words that stand everywhere: no pair passes, the base spans are there all the same."""
+    common = prose(12, 7).split()
+    texts = [" ".join(RNG.permutation(common)) for _ in range(40)]
+    rows = [(i, f"{t} jane.doe@corp.example.org {t}" if i < 5 else t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: [x["kind"] for x in r["pii_spans"]] for r in pii.annotate(docs).collect()}
+    assert found == {i: ["email"] * (i < 5) for i in range(40)}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(("[EMAIL]" in clean[i]) == (i < 5) for i in range(40))
+
+
 def test_sanitise_keeps_columns(docs, empty):
     got = by_id(pii.sanitise(docs))
     assert set(got[0]) == set(docs.columns) and got[0]["text"] is None and got[0]["n_chars"] is None
