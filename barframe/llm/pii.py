@@ -3,10 +3,11 @@
 Protected entities are the e-mail addresses, IP addresses, payment cards and phone numbers of the texts. Over the
 whole corpus it is counted in how many documents an entity c stands, in how many a term t, and in how many both stand
 within ``window`` words. The term's disclosure is its pointwise mutual information with the entity as a share of the
-entity's information content: log(p(c,t) / p(c)p(t)) / -log p(c); 1 says that the term gives the entity away. Terms that
-an entity's neighbourhood shows in at least ``contexts`` different contexts are disclosing from ``generalise`` on and are
-replaced by a class label, from ``remove`` on removed. They are only touched near that entity: documents without
-protected entities stay as they are.
+entity's information content: log(p(c,t) / p(c)p(t)) / -log p(c); 1 says that the term gives the entity away. p(c,t) is
+smoothed by k / (k + ``contexts``), where k is the number of different contexts that show the pair. There is no least
+count: the share decides for an entity or a term that stands once, too. Terms are disclosing from ``generalise``
+on and are replaced by a class label, from ``remove`` on removed. They are only touched near that entity: documents
+without protected entities stay as they are.
 
 A null text is empty. Copies of a passage are one context. Spans count code points, ends exclusive.
 """
@@ -26,8 +27,8 @@ from barframe.llm.common import append_columns, cut
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, CONTEXTS, GENERALISE, REMOVE = 6, 3, 0.6, 0.9
-#: Disclosing pairs and candidate terms in one broadcast.
-BLOCK_ROWS = 200_000
+#: Disclosing pairs in one broadcast, terms that a task counts before it passes them on.
+BLOCK_ROWS, COUNTED = 200_000, 200_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,6 +98,10 @@ def _value(kind: str, raw: str) -> str:
     return f"{kind}:{raw.lower() if kind == 'email' else _digits(raw) if kind != 'ip' else raw}"
 
 
+def _terms(t: str) -> set[str]:
+    return {x.lower() for x in set(_TERM.findall(t))}
+
+
 def _neighbours(t: str, spans: list, window: int) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """Each entity's value with the terms among the ``window`` words on either side that no base span touches."""
     for kind, s, e in spans:
@@ -134,48 +139,47 @@ def _blocks(df: DataFrame, rows: int, by: str) -> Iterator[list]:
         yield (df if n == 1 else df.where(F.pmod(F.xxhash64(by), F.lit(n)) == b)).collect()
 
 
-def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, docs: in how many documents each of ``terms`` stands, over all documents."""
-    out = None
-    for block in _blocks(terms, BLOCK_ROWS, "term"):
-        shared = docs.sparkSession.sparkContext.broadcast({r["term"] for r in block})
+def term_frequencies(docs: DataFrame) -> DataFrame:
+    """term, docs: in how many documents each term stands, over all documents."""
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            counts: dict[str, int] = {}
-            for batch in batches:
-                for t in batch.column("text"):
-                    for term in shared.value.intersection(_TERM.findall((t.as_py() or "").lower())):
-                        counts[term] = counts.get(term, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "docs"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
 
-        part = docs.select("text").mapInArrow(run, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-        out = part if out is None else out.unionAll(part)
-    return out
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "docs"])
+
+        for batch in batches:
+            for t in batch.column("text"):
+                for term in _terms(t.as_py() or ""):
+                    counts[term] = counts.get(term, 0) + 1
+                if len(counts) >= COUNTED:
+                    yield part()
+                    counts.clear()
+        yield part()
+
+    return docs.select("text").mapInArrow(run, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
-def disclosing(docs: DataFrame, window: int = WINDOW, contexts: int = CONTEXTS, generalise: float = GENERALISE) -> DataFrame | None:
-    """entity, term, share: the pairs whose term discloses the entity; None if no neighbourhood has enough contexts."""
+def disclosing(docs: DataFrame, window: int = WINDOW, contexts: int = CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
+    """entity, term, share: the pairs whose term discloses the entity."""
     docs = docs.select(F.col("text").cast("string").alias("text"))
     near = co_occurrence(docs, window)
     by_context = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    pairs = cut(by_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where(F.col("contexts") >= contexts))
-    terms = cut(pairs.where(F.col("term").isNotNull()).select("term").distinct())
-    if terms.isEmpty():
-        return None
+    pairs = cut(by_context.groupBy("entity", "term").agg(F.count("*").alias("k"), F.sum("n").alias("n")))
     n = docs.count()
     own = pairs.where(F.col("term").isNull()).select("entity", F.col("n").alias("of_entity"))
-    joint = pairs.where(F.col("term").isNotNull()).join(own, "entity").join(term_frequencies(docs, terms), "term")
-    share = F.log((F.col("n") / F.col("of_entity")) * (F.lit(n) / F.col("docs"))) / F.log(F.lit(n + 1) / F.col("of_entity"))
+    joint = pairs.where(F.col("term").isNotNull()).join(own, "entity").join(term_frequencies(docs), "term")
+    together = F.col("n") * F.col("k") / (F.col("k") + contexts)
+    share = F.log((together / F.col("of_entity")) * (F.lit(n) / F.col("docs"))) / F.log(F.lit(n + 1) / F.col("of_entity"))
     return cut(joint.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise))
 
 
 def annotate(docs: DataFrame, window: int = WINDOW, contexts: int = CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with pii_spans: base spans of the four kinds, and ``generalise`` or ``remove`` spans of disclosing terms."""
     pairs = disclosing(docs, window, contexts, generalise)
-    blocks = [None] if pairs is None else _blocks(pairs, BLOCK_ROWS, "entity")
     out, first = docs, True
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast({} if block is None else {(r["entity"], r["term"]): r["share"] for r in block})
+    for block in _blocks(pairs, BLOCK_ROWS, "entity"):
+        shared = docs.sparkSession.sparkContext.broadcast({(r["entity"], r["term"]): r["share"] for r in block})
 
         def make(shared=shared, first=first):
             known = shared.value

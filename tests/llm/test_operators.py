@@ -97,6 +97,22 @@ def test_pii_disclosing_terms(spark):
     assert clean[60] == rows[18][1]
 
 
+def test_pii_rare_entity(spark):
+    """The share decides for an address that stands once or twice: the name beside it goes, common words stay."""
+    common = prose(12, 7).split()
+    texts = [" ".join(RNG.permutation(common)) for _ in range(100)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows[0] = (0, f"{texts[0]} Zyxophone jane.doe@corp.example.org {texts[0]}")
+    rows[1] = (1, f"{texts[1]} Quagmirian ann@corp.example.org {texts[1]}")
+    rows[2] = (2, rows[1][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert [clean[i] for i in range(3)] == [f"{texts[i]} [TERM] [EMAIL] {texts[i]}" for i in (0, 1)] + [f"{texts[1]} [TERM] [EMAIL] {texts[1]}"]
+    assert all(clean[i] == texts[i] for i in range(3, 100))
+    shares = {r["term"]: r["share"] for r in pii.disclosing(docs, generalise=0).collect()}
+    assert np.isclose(shares["zyxophone"], np.log(100 / 4) / np.log(101)) and np.isclose(shares["quagmirian"], np.log(50 / 4) / np.log(101 / 2))
+
+
 def test_pii_no_pair_discloses(spark):
     """A contact repeated among words that stand everywhere: no pair passes, the base spans are there all the same."""
     common = prose(12, 7).split()
