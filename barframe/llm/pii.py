@@ -6,8 +6,9 @@ within ``window`` words. The term's disclosure is its pointwise mutual informati
 entity's information content: log(p(c,t) / p(c)p(t)) / -log p(c); 1 says that the term gives the entity away. p(c,t) is
 smoothed by k / (k + ``contexts``), where k is the number of different contexts that show the pair. There is no least
 count: the share decides for an entity or a term that stands once, too. Terms are disclosing from ``generalise``
-on and are replaced by a class label, from ``remove`` on removed. They are only touched near that entity: documents
-without protected entities stay as they are.
+on and are replaced by a class label, from ``remove`` on removed: at every place in the documents that hold the entity.
+In all other documents a term is removed where its largest share reaches ``remove``, that is where it alone gives an entity
+away; terms between the two bounds stay there.
 
 A null text is empty. Copies of a passage are one context. Spans count code points, ends exclusive.
 """
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ from barframe.llm.common import append_columns, cut
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, CONTEXTS, GENERALISE, REMOVE = 6, 3, 0.6, 0.9
-#: Disclosing pairs in one broadcast, terms that a task counts before it passes them on.
+#: Disclosing pairs or texts with terms in one broadcast, terms that a task counts before it passes them on.
 BLOCK_ROWS, COUNTED = 200_000, 200_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -102,13 +104,31 @@ def _terms(t: str) -> set[str]:
     return {x.lower() for x in set(_TERM.findall(t))}
 
 
+def _touched(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a base span touches the place from start to end."""
+    starts, ends = [], []
+    for _, s, e in spans:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def touched(s: int, e: int) -> bool:
+        i = bisect_right(ends, s)
+        return i < len(ends) and starts[i] < e
+
+    return touched
+
+
 def _neighbours(t: str, spans: list, window: int) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """Each entity's value with the terms among the ``window`` words on either side that no base span touches."""
+    words = [(m.group().lower(), m.start(), m.end()) for m in _TERM.finditer(t)]
+    starts, ends, touched = [x[1] for x in words], [x[2] for x in words], _touched(spans)
     for kind, s, e in spans:
-        left = t[max(0, s - 40 * window) : s]
-        near = [(m.group().lower(), m.start() + s - len(left), m.end() + s - len(left)) for m in _TERM.finditer(left)][-window:]
-        near += [(m.group().lower(), m.start() + e, m.end() + e) for m in _TERM.finditer(t[e : e + 40 * window])][:window]
-        yield _value(kind, t[s:e]), [x for x in near if all(x[2] <= a or x[1] >= b for _, a, b in spans)]
+        before, after = bisect_right(ends, s), bisect_left(starts, e)
+        near = words[max(0, before - window) : before] + words[after : after + window]
+        yield _value(kind, t[s:e]), [x for x in near if not touched(x[1], x[2])]
 
 
 def co_occurrence(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -174,40 +194,63 @@ def disclosing(docs: DataFrame, window: int = WINDOW, contexts: int = CONTEXTS,
     return cut(joint.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise))
 
 
+def _terms_of_texts(docs: DataFrame, pairs: DataFrame, remove: float) -> DataFrame:
+    """pii_key, pii_spans: a text's hash and its disclosing terms as (term, share); other texts have no row."""
+    docs = docs.select(F.xxhash64("text").alias("key"), "text")
+    out = None
+    for block in _blocks(pairs, BLOCK_ROWS, "term"):
+        by_term: dict[str, dict[str, float]] = {}
+        for r in block:
+            by_term.setdefault(r["term"], {})[r["entity"]] = r["share"]
+        shared = docs.sparkSession.sparkContext.broadcast(by_term)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            top = {term: max(of.values()) for term, of in known.items()}
+            for batch in batches:
+                rows = []
+                for key, t in zip(batch.column("key").to_pylist(), batch.column("text")):
+                    t = t.as_py()
+                    if t and (found := known.keys() & _terms(t)):
+                        held = {_value(kind, t[s:e]) for kind, s, e in entities(t)}
+                        for term in found:
+                            share = top[term] if top[term] >= remove else max((known[term][v] for v in held & known[term].keys()), default=None)
+                            if share is not None:
+                                rows.append((key, term, share))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["key", "term", "share"])
+
+        part = docs.mapInArrow(run, "key long, term string, share double")
+        out = part if out is None else out.unionAll(part)
+    once = out.groupBy("key", "term").agg(F.max("share").alias("share"))
+    return cut(once.groupBy(F.col("key").alias("pii_key")).agg(F.collect_list(F.struct("term", "share")).alias("pii_spans")))
+
+
 def annotate(docs: DataFrame, window: int = WINDOW, contexts: int = CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with pii_spans: base spans of the four kinds, and ``generalise`` or ``remove`` spans of disclosing terms."""
-    pairs = disclosing(docs, window, contexts, generalise)
-    out, first = docs, True
-    for block in _blocks(pairs, BLOCK_ROWS, "entity"):
-        shared = docs.sparkSession.sparkContext.broadcast({(r["entity"], r["term"]): r["share"] for r in block})
+    docs = docs.drop("pii_spans").withColumn("text", F.col("text").cast("string"))
+    terms = _terms_of_texts(docs, disclosing(docs, window, contexts, generalise), remove)
+    few = F.broadcast(terms) if terms.count() <= BLOCK_ROWS else terms
+    told = docs.join(few, F.xxhash64(docs["text"]) == terms["pii_key"], "left").drop(terms["pii_key"])
 
-        def make(shared=shared, first=first):
-            known = shared.value
+    def make():
+        order = (*KINDS, "generalise", "remove")
+
+        def each(batch: pa.RecordBatch) -> list:
+            got = []
+            for t, of in zip(batch.column("text"), batch.column("pii_spans").to_pylist()):
+                t = t.as_py() or ""
+                spans = entities(t)
+                if of:
+                    known, touched = {x["term"]: x["share"] for x in of}, _touched(spans)
+                    for m in _TERM.finditer(t):
+                        if (share := known.get(m.group().lower())) is not None and not touched(m.start(), m.end()):
+                            spans.append(("remove" if share >= remove else "generalise", m.start(), m.end()))
+                got.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(spans, key=lambda x: (x[1], order.index(x[0])))])
+            return [pa.array(got, _SPAN_ARROW)]
+
+        return each
 
-            def each(batch: pa.RecordBatch) -> list:
-                got = []
-                before = [None] * batch.num_rows if first else batch.column("pii_spans").to_pylist()
-                for t, old in zip(batch.column("text"), before):
-                    t = t.as_py() or ""
-                    base = entities(t)
-                    spans = set(base) if old is None else {(x["kind"], x["start"], x["end"]) for x in old}
-                    for value, near in _neighbours(t, base, window) if known else ():
-                        for term, s, e in near:
-                            if (share := known.get((value, term))) is not None:
-                                spans.discard(("generalise", s, e))
-                                if ("remove", s, e) not in spans:
-                                    spans.add(("remove" if share >= remove else "generalise", s, e))
-                    order = (*KINDS, "generalise", "remove")
-                    got.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(spans, key=lambda x: (x[1], order.index(x[0])))])
-                return [pa.array(got, _SPAN_ARROW)]
-
-            return each
-
-        out = append_columns(out, make, [T.StructField("pii_spans", SPAN)])
-        if not first:
-            out = cut(out)
-        first = False
-    return out
+    return append_columns(told, make, [T.StructField("pii_spans", SPAN)])
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -113,6 +113,32 @@ def test_pii_rare_entity(spark):
     assert np.isclose(shares["zyxophone"], np.log(100 / 4) / np.log(101)) and np.isclose(shares["quagmirian"], np.log(50 / 4) / np.log(101 / 2))
 
 
+def test_pii_terms_in_whole_texts(spark):
+    """Terms go from the whole text of documents with the entity; one that alone gives it away goes from the others, too."""
+    common = prose(12, 7).split()
+    texts = [" ".join(RNG.permutation(common)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    far = " ".join(texts[60:70])
+    for i in range(30):
+        rows[i] = (i, f"{texts[i]} zyxophone jane.doe@corp.example.org {texts[30 + i]} {far} Zyxophone")
+    rows[70] = (70, f"{texts[70]} zyxophone {texts[71]}")
+    rows[80] = (80, f"{texts[80]} quagmirian bob@corp.example.org {far}\n\nQuagmirian {texts[81]}")
+    rows[82] = (82, f"{texts[82]} quagmirian {texts[83]}")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(clean[i] == f"{texts[i]}  [EMAIL] {texts[30 + i]} {far} " for i in range(30))
+    assert clean[70] == f"{texts[70]}  {texts[71]}"
+    # a share between the bounds: generalised in the entity's document only
+    assert clean[80] == f"{texts[80]} [TERM] [EMAIL] {far}\n\n[TERM] {texts[81]}" and clean[82] == rows[82][1]
+    assert all(clean[i] == texts[i] for i in range(200) if i >= 30 and i not in (70, 80, 82))
+
+
+def test_pii_neighbours_are_words():
+    words = [c * 70 for c in "abcdefghijklmn"]
+    t = f"{' '.join(words[:7])} jane.doe@corp.example.org {' '.join(words[7:])}"
+    ((_, near),) = pii._neighbours(t, pii.entities(t), 6)
+    assert [x[0] for x in near] == words[1:13] and all(t[s:e] == w for w, s, e in near)
+
+
 def test_pii_no_pair_discloses(spark):
     """A contact repeated among words that stand everywhere: no pair passes, the base spans are there all the same."""
     common = prose(12, 7).split()
