@@ -139,6 +139,17 @@ def test_pii_neighbours_are_words():
     assert [x[0] for x in near] == words[1:13] and all(t[s:e] == w for w, s, e in near)
 
 
+def test_pii_entity_in_boilerplate(spark):
+    """Every document first names the entity in one and the same line: later mentions still tell its terms."""
+    line = "contact our office jane.doe@corp.example.org monday until friday every single week"
+    common = prose(12, 7).split()
+    texts = [" ".join(RNG.permutation(common)) for _ in range(120)]
+    rows = [(i, f"{line} {t} zyxophone jane.doe@corp.example.org {t}" if i < 8 else t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "zyxophone" in {r["term"] for r in pii.disclosing(docs).collect()}
+    assert all("zyxophone" not in r["text"] for r in pii.sanitise(docs).collect())
+
+
 def test_pii_no_pair_discloses(spark):
     """A contact repeated among words that stand everywhere: no pair passes, the base spans are there all the same."""
     common = prose(12, 7).split()
