@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barframe.llm.common import cut, drop
+from barframe.llm.common import append_columns, cut, drop
 
 WORDS, SIMILARITY = 3, 90
 #: Entries of the list of frequent tokens, ids in one broadcast, members of a bucket that are compared at once.
@@ -291,7 +292,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, and per row its node, class (the node of its representative) and whether it is first of its component."""
+    """doc_id, n_shingles, component_id, and per row its node, class (the node of its representative), component and the two hashes of its set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     indexed = _indexed(docs, words, similarity)
     rows = cut(indexed.select("node", "doc_id", "n", "s1", "s2"))
@@ -323,18 +324,37 @@ def join_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
         of = classes.select(F.col("rep").alias("node"), "low", "s1", "s2", "n", F.col("rep").alias("component"))
     least = of.groupBy("component").agg(F.min("low").alias("component_id"))
     of = of.join(least, "component").select("s1", "s2", F.col("node").alias("class"), "component", "component_id", F.col("n").alias("size"))
-    full = rows.where("n > 0").select("node", "doc_id", "n", "s1", "s2").join(of, ["s1", "s2"]).where("n = size").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "class", "component")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", F.col("node").alias("class"), F.col("node").alias("component"))
+    full = rows.where("n > 0").select("node", "doc_id", "n", "s1", "s2").join(of, ["s1", "s2"]).where("n = size").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "class", "component", "s1", "s2")
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", F.col("node").alias("class"), F.col("node").alias("component"), "s1", "s2")
     return full.unionAll(empty)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """The documents with one of each component: the one with its smallest doc_id (rows without an id stay)."""
-    marked = join_components(docs, words, similarity)
-    gone = cut(marked.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
-    again = cut(marked.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    left = docs.join(_few(gone.distinct()), "doc_id", "left_anti")
-    if again.isEmpty():
+    """The documents with one of each component: one row with its smallest doc_id (rows without an id or a word stay).
+
+    Rows of one id are judged each by its own set, so texts that only share the id with a copy stay.
+    """
+    marked = cut(join_components(docs, words, similarity))
+    repeated = cut(marked.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    gone = cut(marked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    left = docs.join(_few(gone), "doc_id", "left_anti")
+    if repeated.isEmpty():
         return left
-    once = left.join(_few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(_few(again), "doc_id", "left_anti").unionByName(once)
+    left = left.join(_few(repeated), "doc_id", "left_anti")
+    firsts = marked.where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).join(_few(repeated), "doc_id", "left_semi")
+    kept = cut(firsts.groupBy("doc_id", "component").agg(F.min(F.struct("s1", "s2")).alias("set")).select("doc_id", "set.s1", "set.s2"))
+    names = docs.columns
+    rows = docs.join(_few(repeated), "doc_id", "left_semi").select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def make():
+        def each(batch: pa.RecordBatch) -> list:
+            sets = shingles(_bytes(batch), words)
+            marks = [_marks(s) for s in sets]
+            return [pa.array([len(s) for s in sets], pa.int64()), *[pa.array([m[k] for m in marks], pa.int64()) for k in range(2)]]
+
+        return each
+
+    told = append_columns(rows, make, [T.StructField(n, T.LongType()) for n in ("n", "s1", "s2")]).drop("text")
+    once = told.where("n > 0").join(_few(kept), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
+    stay = told.where("n = 0").select("row").unionAll(once.select("row"))
+    return left.select(*[F.col(f"`{n}`") for n in names]).unionAll(stay.select(*[F.col("row").getField(n).alias(n) for n in names]))

@@ -347,6 +347,17 @@ def test_jaccard_small(spark, docs, empty):
     assert kept.count(5) == 1 and 6 not in kept and {0, 1, 2} <= set(kept) and jaccard.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Texts under one id are judged each for itself: only linked rows go, and one row of each linked group stays."""
+    a, b, c, d, e = (prose(80, 700 + i) for i in range(5))
+    rows = [(1, a), (2, f"{a} z"), (2, b), (3, c), (3, d), (4, d), (5, e), (5, e), (5, f"{e} z"), (6, None), (6, ""), (7, b), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect()), key=str)
+    (five,) = [x for x in got if x[0] == 5]
+    assert five in {(5, e), (5, f"{e} z")}
+    assert got == sorted([(1, a), (2, b), (3, c), (3, d), five, (6, None), (6, ""), (None, a)], key=str)
+
+
 def edited(text, edits, r):
     w = text.split()
     for _ in range(edits):
