@@ -172,6 +172,9 @@ class Automaton:
         for c, code in self.codes.items():
             if ord(c) < 0x250:
                 self.map[ord(c)] = code
+        # letters is sorted, so the wide ones are its tail
+        self.wide = np.array([ord(c) for c in letters if ord(c) >= 0x250], np.uint32)
+        self.wide_codes = np.array([self.codes[chr(c)] for c in self.wide], np.int32)
 
     def distances(self, words: list[str]) -> np.ndarray:
         """0 for no hit, else the distance plus one."""
@@ -182,6 +185,10 @@ class Automaton:
             if len(at):
                 chars = np.array([words[i] for i in at], f"U{high}").view(np.uint32).reshape(len(at), high)
                 codes = np.where(chars < 0x250, self.map[np.minimum(chars, 0x24F)], 1)
+                if len(self.wide):
+                    wide = np.nonzero(chars >= 0x250)
+                    place = np.minimum(np.searchsorted(self.wide, chars[wide]), len(self.wide) - 1)
+                    codes[wide] = np.where(self.wide[place] == chars[wide], self.wide_codes[place], 1)
                 state = np.zeros(len(at), np.int32)
                 for k in range(high):
                     state = self.table[state, codes[:, k]]

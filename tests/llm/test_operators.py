@@ -456,6 +456,13 @@ def test_levenshtein_automaton():
         assert bool(got) == bool(best), w
 
 
+def test_levenshtein_automaton_beyond_latin():
+    auto = toxicity.Automaton([("негодяй", False), ("idiot", False), ("βλάκας", False), ("дурак" * 14, False)])
+    words = ["негодяй", "негодяи", "idiot", "idiоt", "βλάκας", "日本語テキスト", "хорошо", "дурак" * 14]
+    one = toxicity.distance_of("негодяй", False) >= 1, toxicity.distance_of("idiot", False) >= 1
+    assert auto.distances(words).tolist() == [1, 2 * one[0], 1, 2 * one[1], 1, 0, 0, 1]
+
+
 def test_quotation_counts_apart():
     scanner = toxicity.Scanner(toxicity.Automaton([("idiot", False)]))
     plain, quoted, said, fuzzy = scanner.features(['you idiot now', 'the word "idiot" is old', "they said idiot again", "you idiott now"])
