@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -63,13 +64,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables that ``cut`` wrote and nothing will read again, and lets Spark's cleaner drop dead shuffle files."""
+    """Deletes tables that ``cut`` wrote and nothing will read again."""
     for t in tables:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def release() -> None:
+    """Gives memory that a Python worker's task has freed back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep their own counsel
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def sample_ids(labelled: DataFrame, rows: int) -> DataFrame:

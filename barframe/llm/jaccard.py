@@ -2,22 +2,28 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Documents with equal sets form a class and only
 its representative is compared. Tokens are put in one global order: tokens outside a bounded list of frequent tokens
-first, listed ones last, by class of frequency. Two sets of similarity s share a token of their first n - ceil(s n) + 1
-tokens. Where such a shared token is rare it is indexed alone. Where the prefix reaches frequent tokens, it is
-extended by k = floor((1/s - 1) n) + 2 tokens: two similar sets then share k tokens there and differ in less than
-k - 1, so at least one pair of neighbours in the order is neighbours in both; such pairs of frequent tokens are the keys.
-Candidates pass a length and a position filter and are verified on whole sets.
-
-No group is expanded into all its pairs. A bucket of few members is compared at once; a larger one is tested against one
-hub, its member with the fewest rare tokens, which is the original where the others are edited copies. If all members link
-with the hub they are one component. Else let o(x) be a member's overlap with the hub h and A(x) its tokens outside h: the
-overlap of x and y is at most min(o(x), o(y)) + |A(x) & A(y)|. A member x can only link with a y through tokens of the hub alone if y is
-no larger than (1 + 1/s) o(x) - n(x); those members form a smaller bucket with another hub. Every other link needs a
-shared token outside the hub, so the members are indexed again by (h, token of A) and the resulting buckets are treated
-alike. After ``LEVELS`` such steps what is left is compared in full. No link is lost.
+first, listed ones last. Two sets of similarity s share a token of their first n - ceil(s n) + 1
+tokens, their prefixes.
+
+* Rare tokens of a prefix are indexed alone. A bucket of at most ``SMALL`` members is compared at once, behind a length and
+  a position filter, within its task.
+* Sets whose prefix reaches listed tokens, or holds a token with a larger bucket, are extended to the whole set and indexed
+  by token combinations: similar sets of one band of sizes differ in at most d tokens, so if tokens are dealt by hash to
+  d + 1 combinations, at least one combination is the same in both. It holds about n / (d + 1) tokens (9 at similarity 0.9), so a
+  passage that many documents share is no longer enough to meet. Two sets that share a frequent token in their prefixes are
+  both indexed so; any other similar pair shares a rare one. No link is lost.
+* A larger bucket of combinations is not expanded: its members are paired with one hub, the member with the fewest rare
+  tokens (the original where the others are edited copies). Where links join all its members it is done. Else members of
+  different components are compared, in blocks; pairs inside a component cannot change the result.
+
+Candidates pass a parity filter (the symmetric difference of two sets is at least the distance of their parity bitmaps) and are
+verified on the whole sets. Verification takes the most promising partner of every document first, then ``LEVELS`` rounds of the
+nearest pair of every two components, then whatever still joins different components: each pair that could change the result is
+verified. Texts travel once per pair and once per ``UNIT`` partners of a hub, never as pairs of texts.
 
 Null and wordless texts have an empty set and link with nothing; texts with fewer words than a shingle have one shingle, their
-whole sequence. Repeated rows of one doc_id are nodes of their own.
+whole sequence. Repeated rows of one doc_id are nodes of their own; an empty table gives an empty result. Only doc_id and text are read, so
+other columns, whatever their names, play no part. Very long texts are processed whole.
 """
 
 from __future__ import annotations
@@ -31,12 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barframe.llm.common import append_columns, cut, drop
+from barframe.llm.common import append_columns, cut, drop, release
 
 WORDS, SIMILARITY = 3, 90
-#: Entries of the list of frequent tokens, ids in one broadcast, members of a bucket that are compared at once.
-FREQUENT, BROADCAST_IDS, SMALL = 1 << 17, 1 << 19, 48
-LEAST_COUNT, LEVELS, PART_BYTES, PAIR_ROWS = 4, 2, 1 << 20, 500
+#: Entries of the list of frequent tokens, rows in one broadcast, members of a bucket that are compared at once.
+FREQUENT, BROADCAST_IDS, SMALL = 1 << 19, 1 << 17, 64
+#: Least count of a token within a task to be counted at all; rounds that verify only the nearest pairs.
+LEAST_COUNT, LEVELS = 2, 1
+#: Bytes hashed at once, tokens counted at once, partners of a hub in one unit, members of a block, rows of texts in an Arrow batch.
+PART_BYTES, COUNT_TOKENS, UNIT, BLOCK = 1 << 20, 1 << 22, 64, 4096
+#: Classes of more rows are joined with their result by broadcast (there are at most rows / HOT of them); combinations up to which empty ones count.
+HOT, SURE = 1000, 32
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -108,74 +119,124 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
 
-def frequent_tokens(docs: DataFrame, words: int = WORDS, entries: int = FREQUENT, least: int = LEAST_COUNT) -> list:
-    """(token, class) of the most frequent tokens, at most ``entries``, as counted over all documents, repeats in a batch once.
+def frequent_tokens(docs: DataFrame, words: int = WORDS, entries: int | None = None, least: int | None = None) -> np.ndarray:
+    """The sorted most frequent tokens, at most ``entries`` by whole classes of frequency.
 
-    The list only orders tokens: any list gives the same links.
+    All documents are counted, repeated texts of a batch once; a token counts from ``least`` in one run of a task on. The list only
+    orders tokens: any list gives the same links.
     """
+    entries, least = entries or FREQUENT, least or LEAST_COUNT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = list({t for t in _bytes(batch) if t})
-            tokens, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *shingles(texts, words)]), return_counts=True)
+        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
             keep = counts >= least
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(counts[keep].astype(np.int64))], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(counts[keep].astype(np.int64))], names=["token", "n"])
+
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for s in shingles(list({t for t in _bytes(batch) if t}), words):
+                held.append(s)
+                size += len(s)
+                if size >= COUNT_TOKENS:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
+        release()
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    classes = cut(counts.withColumn("class", F.floor(F.log2("n")).cast("int")))
+    classes = cut(counts.where(F.col("n") >= 2 * least).select("token", F.floor(F.log2("n")).cast("int").alias("class")))
     sizes = {r["class"]: r["count"] for r in classes.groupBy("class").count().collect()}
     low, held = max(sizes, default=0) + 1, 0
-    while low - 1 in range(min(sizes, default=0), low) and held + sizes.get(low - 1, 0) <= entries:
+    while low - 1 >= min(sizes, default=low) and held + sizes.get(low - 1, 0) <= entries:
         low, held = low - 1, held + sizes.get(low - 1, 0)
-    return [(r["token"], r["class"]) for r in classes.where(F.col("class") >= low).select("token", "class").collect()] if held else []
+    tokens = classes.where(F.col("class") >= low).select("token").toArrow().column("token").to_numpy()
+    drop(classes)
+    return np.sort(tokens)
 
 
-def prefix_keys(tokens: np.ndarray, listed: np.ndarray, classes: np.ndarray, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index keys of one set, the place in the order of each (0 for pairs), and how many of its tokens are rare."""
+def prefix_keys(tokens: np.ndarray, listed: np.ndarray, similarity: int = SIMILARITY) -> tuple[np.ndarray, bool, int]:
+    """The rare tokens of a set's prefix, whether the prefix reaches a listed token, and how many tokens are rare."""
     n = len(tokens)
     if n * (100 - similarity) < similarity:  # smaller sets have no similar set but their equals
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), n
+        return np.zeros(0, np.int64), False, n
     p = n - -(-similarity * n // 100) + 1
-    cls = np.zeros(n, np.int64)
+    rare = tokens
     if len(listed):
         at = np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)
-        cls = np.where(listed[at] == tokens, classes[at], 0)
-    rare = tokens[cls == 0][:p]
-    keys, places = rare, np.arange(len(rare), dtype=np.int32)
-    if len(rare) < p:
-        k = (100 - similarity) * n // similarity + 2
-        room = min(n, p - 1 + k) - int((cls == 0).sum())
-        often = np.flatnonzero(cls)
-        often = tokens[often[np.lexsort((tokens[often], cls[often]))]][: max(room, 0)].view(np.uint64)
-        pairs = _mix(often[:-1] * _BASE + often[1:] + np.uint64(1)).view(np.int64)
-        keys, places = np.concatenate([keys, pairs]), np.concatenate([places, np.zeros(len(pairs), np.int32)])
-    return keys, places, int((cls == 0).sum())
+        rare = tokens[listed[at] != tokens]
+    return rare[:p], len(rare) < p, len(rare)
+
+
+def combinations(tokens: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
+    """Keys of the token combinations of one set, for its own band of sizes and the next.
+
+    Combinations without a token count up to ``SURE`` combinations; beyond, two similar sets have an equal one with tokens but for
+    a chance below 1e-12 (all differing tokens would have to fall into different combinations).
+    """
+    u, n = tokens.view(np.uint64), len(tokens)
+    step = 1.0001 * math.log(100 / similarity)
+    band = int(math.log(n) / step)
+    out = []
+    for b in (band, band + 1):
+        largest = math.floor(math.exp((b + 1) * step)) + 1
+        parts = np.uint64(2 * largest * (100 - similarity) // (100 + similarity) + 1)
+        part = (u >> np.uint64(7)) % parts
+        total = np.zeros(int(parts), np.uint64)
+        np.add.at(total, part.astype(np.int64), _mix(u))
+        keys = _mix(total * _BASE + _mix(np.arange(int(parts), dtype=np.uint64) + np.uint64(b << 32)))
+        out.append(keys if parts <= SURE else keys[np.bincount(part.astype(np.int64), minlength=int(parts)) > 0])
+    return np.concatenate(out).view(np.int64)
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap of the parities of a set's counts by hash; its size is a power of two of at least twice the set's, 128 to 65536 bits."""
+    bits = min(max(128, 1 << (2 * len(tokens) - 1).bit_length()), 1 << 16)
+    at = ((tokens.view(np.uint64) >> np.uint64(23)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """The distance of two bitmaps, the larger folded to the size of the smaller; at most the sets' symmetric difference."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    m, k = len(a), len(b)
+    while m > k:
+        m //= 2
+        x = (x >> 8 * m) ^ (x & ((1 << 8 * m) - 1))
+    while k > m:
+        k //= 2
+        y = (y >> 8 * k) ^ (y & ((1 << 8 * k) - 1))
+    return (x ^ y).bit_count()
+
+
+def _longs(rows: list, names: list[str]) -> pa.RecordBatch:
+    columns = np.array(rows, np.int64).reshape(-1, len(names))
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(columns[:, j])) for j in range(len(names))], names=names)
 
 
 def _indexed(docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """node, doc_id, n, s1, s2 and the index keys of every row."""
-    often = frequent_tokens(docs, words)
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(often))
+    """node, doc_id, mark (a hash of the text), n, s1, s2, odd (rare tokens), keys (rare tokens of the prefix) and often (it reaches listed ones) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = np.array([t for t, _ in shared.value], np.int64)
-        classes = np.array([c for _, c in shared.value], np.int64) + 1
+        listed = np.asarray(shared.value, np.int64)
         for batch in batches:
             sets = shingles(_bytes(batch), words)
             marks = [_marks(s) for s in sets]
-            found = [prefix_keys(s, listed, classes, similarity) for s in sets]
+            found = [prefix_keys(s, listed, similarity) for s in sets]
             off = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32))
             keys = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *[f[0] for f in found]])))
-            places = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int32), *[f[1] for f in found]])))
-            odd = pa.array([f[2] for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), odd, pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), keys, places], names=["doc_id", "n", "odd", "s1", "s2", "keys", "places"])
+            numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [m[0] for m in marks], [m[1] for m in marks], [f[2] for f in found])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *numbers, keys, pa.array([f[1] for f in found], pa.bool_())], names=["doc_id", "mark", "n", "s1", "s2", "odd", "keys", "often"])
+        release()
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, odd long, s1 long, s2 long, keys array<long>, places array<int>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n long, s1 long, s2 long, odd long, keys array<long>, often boolean")
     return cut(rows.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    """A broadcast where the ids' count allows it, else a plain join."""
+    """A broadcast where the rows' count allows it, else a plain join."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
@@ -183,98 +244,193 @@ def _similar(n: Column, m: Column, overlap: Column, similarity: int) -> Column:
     return (100 + similarity) * overlap >= similarity * (n + m)
 
 
-def _tested(docs: DataFrame, pairs: DataFrame, known: DataFrame, words: int, similarity: int, repeats: bool) -> DataFrame:
-    """a, b, star, na, nb, overlap, linked, and for star pairs extra, b's tokens outside a.
+def _bucket_pairs(postings: DataFrame, similarity: int) -> DataFrame:
+    """a, b of the members of small buckets (key, node, n, place) that pass the length and position filter; b is null for each member of a larger one."""
+    small = SMALL
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(keys: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+            begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            size = np.diff(np.append(begin, len(keys)))
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for m in np.unique(size[(size > 1) & (size <= small)]):
+                at = begin[size == m][:, None]
+                i, j = np.triu_indices(m, 1)
+                x, y = (at + i).ravel(), (at + j).ravel()
+                ok = (100 + similarity) * np.minimum(n[x] - place[x], n[y] - place[y]) >= similarity * (n[x] + n[y])
+                x, y = node[x[ok]], node[y[ok]]
+                left.append(np.minimum(x, y))
+                right.append(np.maximum(x, y))
+            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+            crowd = np.unique(node[np.repeat(size > small, size)])
+            if len(both) or len(crowd):
+                a, b = np.concatenate([both[:, 0], crowd]), np.concatenate([both[:, 1], crowd])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=a == b)], names=["a", "b"])
+
+        held: list[np.ndarray] | None = None  # a bucket that goes on in the next batch
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in ("key", "node", "n", "place")]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if len(held[0]):
+                last = int(np.searchsorted(held[0], held[0][-1]))
+                if last:
+                    yield from pairs(*[x[:last] for x in held])
+                held = [x[last:] for x in held]
+                if len(held[0]) > 4 * small:  # known to be large: its members go as they come
+                    yield from pairs(*[x[: -small - 1] for x in held])
+                    held = [x[-small - 1 :] for x in held]
+        if held is not None and len(held[0]):
+            yield from pairs(*held)
+        release()
+
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _texts(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of ``wanted`` (node and others) with the node's text."""
+    told = wanted.join(known.select("node", "doc_id", "mark"), "node")
+    told = _few(cut(told))
+    texts = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
+    return texts.join(told, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("mark"))).select(*wanted.columns, "text")
+
+
+def _combined(docs: DataFrame, known: DataFrame, nodes: DataFrame, words: int, similarity: int) -> DataFrame:
+    """node, n, odd and the keys of the token combinations of the nodes' whole sets."""
 
-    Texts travel, not token lists: they are smaller, and a hub's set is made once for the run of its pairs. ``known``
-    tells each node's doc_id and set; where ids repeat, another text under the id is told by its set.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [combinations(s, similarity) if len(s) else s for s in shingles(_bytes(batch), words)]
+            off = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
+            keys = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "n", "odd")], keys], names=["node", "n", "odd", "keys"])
+        release()
+
+    texts = _texts(docs, known, nodes)
+    return cut(texts.mapInArrow(run, "node long, n long, odd long, keys array<long>").dropDuplicates(["node"]))
+
+
+def _bitmaps(docs: DataFrame, known: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, n and the parity bitmap of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parity(s) for s in shingles(_bytes(batch), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(bits, pa.binary())], names=["node", "n", "bits"])
+        release()
+
+    return cut(_texts(docs, known, nodes).mapInArrow(run, "node long, n long, bits binary").dropDuplicates(["node"]))
+
+
+def _near(pairs: DataFrame, bitmaps: DataFrame, similarity: int) -> DataFrame:
+    """a, b, apart of the pairs that pass the length and the parity filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(a, b, distance(x, y), n + m) for a, b, x, y, n, m in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "bits_a", "bits_b", "na", "nb")])]
+            yield _longs([r[:3] for r in rows if (100 + similarity) * r[2] <= (100 - similarity) * r[3]], ["a", "b", "apart"])
+        release()
+
+    one = bitmaps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    two = bitmaps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    both = pairs.join(one, "a").join(two, "b").where(_similar(F.col("na"), F.col("nb"), F.least("na", "nb"), similarity))
+    return both.mapInArrow(run, "a long, b long, apart long")
+
+
+def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """a, b, linked: the pairs, compared on whole sets.
+
+    A hub's partners are dealt to units of about ``UNIT``; each unit gets the hub's text once.
     """
-    told = cut(pairs.join(known.select(F.col("node").alias("b"), F.col("doc_id").alias("b_id"), F.col("s1").alias("b1"), F.col("s2").alias("b2")), "b"))
-    heads = cut(pairs.select(F.col("a").alias("node")).distinct().join(known, "node").select(F.col("node").alias("a"), F.col("doc_id").alias("a_id"), F.col("s1").alias("a1"), F.col("s2").alias("a2")))
-    left = docs.join(_few(told), docs["doc_id"].eqNullSafe(told["b_id"])).select("a", "b", "star", "b1", "b2", F.col("text").alias("text_b"))
-    hubs = docs.join(_few(heads), docs["doc_id"].eqNullSafe(heads["a_id"])).select("a", "a1", "a2", F.col("text").alias("text_a"))
-    both = left.join(hubs, "a")
+    hubs = pairs.groupBy("a").count()
+    dealt = cut(pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / UNIT)).alias("unit")))
+    wanted = dealt.select(F.col("b").alias("node"), "a", "unit", F.lit(1).alias("role")).unionAll(dealt.select(F.col("a").alias("node"), "a", "unit", F.lit(0)).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, None
+        at, hub = None, None
         for batch in batches:
             rows = []
-            texts = batch.column("text_a").cast(pa.large_binary()), batch.column("text_b").cast(pa.large_binary())
-            plain = [batch.column(c).to_pylist() for c in ("a", "b", "star", "a1", "a2", "b1", "b2")]
-            for i, (a, b, star, a1, a2, b1, b2) in enumerate(zip(*plain)):
-                if last != (a, a1, a2):
-                    hub = shingles([texts[0][i].as_py()], words)[0]
-                    if _marks(hub) != (a1, a2):
-                        last, hub = None, None
-                        continue
-                    last = (a, a1, a2)
-                own = shingles([texts[1][i].as_py()], words)[0]
-                if _marks(own) == (b1, b2):
-                    shared = np.intersect1d(own, hub, assume_unique=True)
-                    rows.append((a, b, star, len(hub), len(own), len(shared), np.setdiff1d(own, shared, assume_unique=True) if star else np.zeros(0, np.int64)))
-            off = pa.array(np.concatenate([[0], np.cumsum([len(r[6]) for r in rows])]).astype(np.int32))
-            extra = pa.ListArray.from_arrays(off, pa.array(np.concatenate([np.zeros(0, np.int64), *[r[6] for r in rows]])))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], extra], names=["a", "b", "star", "na", "nb", "overlap", "extra"])
-
-    counted = both.mapInArrow(run, "a long, b long, star boolean, na long, nb long, overlap long, extra array<long>")
-    counted = counted.dropDuplicates(["a", "b"]) if repeats else counted
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(PAIR_ROWS))
-    try:
-        return cut(counted.withColumn("linked", _similar(F.col("na"), F.col("nb"), F.col("overlap"), similarity)))
-    finally:
-        conf.set(key, before)
-
-
-def _first_buckets(rows: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """key, node, n, place, rank of all index keys that several classes share."""
-    heads = _few(classes.select(F.col("rep").alias("node")))
-    held = rows.join(heads, "node", "left_semi").select("node", "n", "odd", F.explode(F.arrays_zip("keys", "places")).alias("k"))
-    postings = held.select(F.col("k.keys").alias("key"), "node", F.col("n").cast("int").alias("n"), F.col("k.places").alias("place"), F.col("odd").cast("int").alias("rank"), F.lit(False).alias("fixed"))
-    often = postings.groupBy("key").count().where("count > 1").select("key")
-    # similar sets lie in one band of sizes or in neighbouring ones: a bucket holds a band and the one below it
-    band = F.floor(F.log("n") / F.lit(1.0001 * math.log(100 / similarity)))
-    return cut(postings.join(often, "key").withColumn("band", F.explode(F.array(band, band + 1))).withColumn("key", F.xxhash64("key", "band")).drop("band"))
-
-
-def _pairs(buckets: DataFrame, most: Column, similarity: int, complete: bool) -> DataFrame:
-    """a, b, star: what to test in buckets (key, node, n, rank, fixed, and what ``most``, the bound of an overlap, reads of both sides).
-
-    Two fixed members of a bucket are in one component already.
-    """
-    fields = [c for c in buckets.columns if c != "key"]
-    by = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rank", "node", *[c for c in fields if c not in ("rank", "node")])).alias("hub")).where("members > 1")
-    told = cut(buckets.join(by, "key"))
-    large = F.lit(False) if complete else F.col("members") > SMALL
-    possible = _similar(F.col("n"), F.col("hub.n"), most, similarity) & ~(F.col("fixed") & F.col("hub.fixed"))
-    one = told.where((large | ((F.col("members") == 2) & possible)) & (F.col("node") != F.col("hub.node"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), large)
-    few = told.where(~large & (F.col("members") > 2)).drop("hub")
-    within = few.join(few.select("key", F.struct(*fields).alias("hub")), "key").where(F.col("node") < F.col("hub.node")).where(possible)
-    two = within.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.lit(False))
-    return cut(one.unionAll(two).toDF("a", "b", "star").groupBy("a", "b").agg(F.max("star").alias("star")))
-
-
-def _next_buckets(tested: DataFrame, similarity: int, level: int) -> DataFrame:
-    """key, node, n, overlap, outside, rank, fixed: buckets in which members of unfinished stars can still link.
-
-    By its own size a member needs at least s n - o tokens in common outside the hub, so a prefix of those is indexed.
+            sets = iter(shingles(_bytes(batch), words))
+            for node, a, unit, role in zip(*[batch.column(c).to_pylist() for c in ("node", "a", "unit", "role")]):
+                own = next(sets)
+                if role == 0:
+                    at, hub = (a, unit), own
+                elif at == (a, unit):
+                    shared = len(np.intersect1d(own, hub, assume_unique=True))
+                    rows.append((a, node, (100 + similarity) * shared >= similarity * (len(own) + len(hub))))
+            yield _longs(rows, ["a", "b", "linked"])
+        release()
+
+    texts = _texts(docs, known, wanted).repartition("a", "unit").sortWithinPartitions("a", "unit", "role")
+    out = cut(texts.mapInArrow(run, "a long, b long, linked long").select("a", "b", (F.col("linked") == 1).alias("linked")).dropDuplicates(["a", "b"]))
+    drop(dealt)
+    return out
+
+
+def _crossing(pairs: DataFrame, graph: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are not known to be in one component, with both components."""
+    if graph is None:
+        return pairs.withColumn("ca", F.col("a")).withColumn("cb", F.col("b"))
+    of = graph.select(F.col("node"), "component")
+    both = pairs.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
+    return both.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca != cb")
+
+
+def _unfinished(buckets: DataFrame, bitmaps: DataFrame, graph: DataFrame | None, similarity: int) -> DataFrame | None:
+    """a, b, apart: near pairs of members of different components in the larger buckets.
+
+    Members are dealt to blocks of about ``BLOCK`` by hash. A member outside its bucket's largest component meets every block of the bucket,
+    the others only their own: they are compared with those alone.
     """
-    star = tested.where("star").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("nb").alias("n"), "overlap", F.size("extra").alias("outside"), "extra", "linked")
-    reach = F.floor((100 + similarity) * F.col("overlap") / similarity) - F.col("n")  # the largest partner through hub tokens alone
-    open_ = ~F.col("linked")
-    state = star.groupBy("hub").agg(F.min("n").alias("least"), F.max(F.when(open_, reach)).alias("farthest"), F.max(open_).alias("unfinished")).where("unfinished")
-    rest = cut(star.join(state, "hub").withColumn("core", open_ & (reach >= F.col("least"))))
-    rest = rest.withColumnRenamed("linked", "fixed")
-    out = ["key", "node", "n", "overlap", "outside", "rank", "fixed"]
-    needed = F.greatest(F.lit(1), F.ceil(similarity * F.col("n") / 100) - F.col("overlap"))
-    first = F.slice("extra", 1, F.greatest(F.lit(0), F.col("outside") - needed + 1).cast("int"))
-    outside = rest.select("*", F.posexplode(first).alias("at", "token")).withColumn("key", F.xxhash64("hub", "token")).withColumn("rank", F.col("outside")).withColumn("outside", F.col("outside") - F.col("at"))
-    # a bucket without an unlinked member holds one component
-    useful = outside.groupBy("key").agg(F.max(~F.col("fixed")).alias("some"), F.count("*").alias("members")).where("some and members > 1").select("key")
-    inside = rest.where(F.col("core") | (F.col("n") <= F.col("farthest"))).withColumn("key", F.xxhash64("hub", F.lit(f"core {level}"))).withColumn("rank", F.when(F.col("core"), -F.col("n")).otherwise(F.lit(1 << 30)))
-    return cut(outside.join(useful, "key").select(*out).unionAll(inside.select(*out)))
+    of = buckets.select("key", "node")
+    of = of.withColumn("component", F.col("node")) if graph is None else of.join(graph, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = cut(of)
+    counts = of.groupBy("key", "component").count()
+    most = counts.groupBy("key").agg(F.max_by("component", "count").alias("largest"), F.sum("count").alias("members"), F.count("*").alias("components")).where("components > 1")
+    rows = cut(of.join(most, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("open", F.col("component") != F.col("largest")))
+    drop(of)
+    if rows.isEmpty():
+        return None
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    placed = rows.withColumn("own", own).withColumn("block", F.explode(F.when(F.col("open"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    placed = placed.select("key", "block", "node", "component", "open", (F.col("own") == F.col("block")).alias("home")).join(bitmaps, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, held = None, [], []
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            """Open members (first in their block) against all that are at home in it."""
+            size = min(len(x[3]) for x in held)
+            fold = lambda bits: np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+            bits = np.stack([fold(x[3]) for x in held])
+            wide = bits.view(np.uint64)
+            node, component, n = (np.array([x[j] for x in held], np.int64) for j in range(3))
+            for q in asked:
+                apart = np.bitwise_count(wide ^ fold(q[3]).view(np.uint64)).sum(1).astype(np.int64)
+                low = np.minimum(n, q[2])
+                ok = (component != q[1]) & ((100 + similarity) * apart <= (100 - similarity) * (n + q[2])) & ((100 + similarity) * low >= similarity * (n + q[2]))
+                if ok.any():
+                    other = node[ok]
+                    rows = np.stack([np.minimum(other, q[0]), np.maximum(other, q[0]), apart[ok]], 1)
+                    yield _longs(rows, ["a", "b", "apart"])
+
+        for batch in batches:
+            for key, block, *x, is_open, home in zip(*[batch.column(c).to_pylist() for c in ("key", "block", "node", "component", "n", "bits", "open", "home")]):
+                if (key, block) != at:
+                    if asked and held:
+                        yield from compared()
+                    at, asked, held = (key, block), [], []
+                if is_open:
+                    asked.append(x)
+                if home:
+                    held.append(x)
+        if asked and held:
+            yield from compared()
+        release()
+
+    near = placed.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long, apart long")
+    out = cut(near.groupBy("a", "b").agg(F.min("apart").alias("apart")))
+    drop(rows)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,40 +447,72 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "component")
 
 
+def _links(docs: DataFrame, indexed: DataFrame, classes: DataFrame, words: int, similarity: int) -> DataFrame | None:
+    """node, component of every representative that links with another; None where there is no link."""
+    heads = indexed.join(classes.select(F.col("rep").alias("node")), "node", "left_semi")
+    known = cut(heads.where("n > 0").select("node", "doc_id", "mark", "n", "odd", "often"))
+    postings = heads.select("node", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("place", "key"))
+    met = cut(_bucket_pairs(postings, similarity))
+    pairs = met.where("b is not null").distinct()
+    nodes = cut(known.where("often").select("node").unionAll(met.where("b is null").select("a")).distinct())
+    large = None
+    if not nodes.isEmpty():
+        combined = _combined(docs, known, known.join(nodes, "node", "left_semi").select("node", "n", "odd"), words, similarity)
+        each = combined.select("node", F.col("n").cast("int").alias("n"), F.col("odd").cast("int").alias("odd"), F.explode("keys").alias("key"))
+        sizes = cut(each.groupBy("key").count().where("count > 1"))
+        pairs = pairs.unionAll(_bucket_pairs(each.join(sizes.where(F.col("count") <= SMALL), "key", "left_semi").select("key", "node", "n", F.lit(0).alias("place")), similarity))
+        if not sizes.where(F.col("count") > SMALL).isEmpty():
+            large = cut(each.join(sizes.where(F.col("count") > SMALL), "key", "left_semi"))
+            hubs = large.groupBy("key").agg(F.min(F.struct("odd", "node")).alias("hub"))
+            pairs = pairs.unionAll(large.join(hubs, "key").where("node != hub.node").select(F.least("node", "hub.node"), F.greatest("node", "hub.node")).distinct())
+    pairs = cut(pairs.distinct())
+    drop(met)
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
+    ends = (ends if large is None else ends.unionAll(large.select("node"))).distinct()
+    bitmaps = _bitmaps(docs, known, known.join(ends, "node", "left_semi").select("node", "n"), words)
+    left = cut(_near(pairs, bitmaps, similarity))
+    drop(pairs)
+    graph, links, level = None, None, 0
+    while not left.isEmpty():
+        if level == 0:  # of each document, the partner with most partners
+            both = left.select("a", "b", "apart").unionAll(left.select("b", "a", "apart"))
+            degree = both.groupBy(F.col("b")).count()
+            best = both.join(degree, "b").groupBy("a").agg(F.max(F.struct("count", -F.col("apart"), -F.col("b"), "b")).alias("to"))
+            chosen = best.select(F.col("to.b").alias("a"), F.col("a").alias("b"))
+        elif level <= LEVELS:  # of each two components, the nearest pair
+            nearest = left.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("apart", "a", "b")).alias("to"))
+            chosen = nearest.select("to.a", "to.b")
+        else:
+            chosen = left.select("a", "b")
+        tested = _verified(docs, known, chosen, words, similarity)
+        found = tested.where("linked").select("a", "b")
+        links = found if links is None else cut(links.unionAll(found))
+        if not found.isEmpty():
+            graph = components(links)
+        if level == 0 and large is not None:
+            more = _unfinished(large, bitmaps, graph, similarity)
+            left = left if more is None else left.unionAll(more).distinct()
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        left = cut(_crossing(left.select("a", "b", "apart").join(done, ["a", "b"], "left_anti"), graph))
+        level += 1
+    return graph
+
+
 def join_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, and per row its node, class (the node of its representative), component and the two hashes of its set."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     indexed = _indexed(docs, words, similarity)
-    rows = cut(indexed.select("node", "doc_id", "n", "s1", "s2"))
-    classes = cut(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("rep"), F.min("doc_id").alias("low")))
-    repeats = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    known = cut(classes.select(F.col("rep").alias("node"), "s1", "s2").join(rows.select("node", "doc_id"), "node"))
-    buckets = _first_buckets(indexed, classes, similarity)
-    drop(indexed)
-    most = F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place"))
-    links, level = None, 0
-    while True:
-        pairs = _pairs(buckets, most, similarity, level > LEVELS)
-        drop(buckets)
-        if pairs.isEmpty():
-            break
-        tested = _tested(docs, pairs, known, words, similarity, repeats)
-        drop(pairs)
-        found = tested.where("linked").select("a", "b")
-        links = found if links is None else links.unionAll(found)
-        if tested.where("star and not linked").isEmpty():
-            break
-        level += 1
-        buckets = _next_buckets(tested, similarity, level)
-        most = F.least("overlap", "hub.overlap") + F.least("outside", "hub.outside")
-    graph = None if links is None else components(links)
-    if graph is not None:
-        of = classes.select(F.col("rep").alias("node"), "low", "s1", "s2", "n").join(graph, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
-        of = classes.select(F.col("rep").alias("node"), "low", "s1", "s2", "n", F.col("rep").alias("component"))
+    rows = indexed.select("node", "doc_id", "n", "s1", "s2")
+    classes = cut(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("node").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("members")))
+    graph = _links(docs, indexed, classes, words, similarity)
+    of = classes.withColumnRenamed("rep", "class")
+    of = of.withColumn("component", F.col("class")) if graph is None else of.join(graph.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = of.join(least, "component").select("s1", "s2", F.col("node").alias("class"), "component", "component_id", F.col("n").alias("size"))
-    full = rows.where("n > 0").select("node", "doc_id", "n", "s1", "s2").join(of, ["s1", "s2"]).where("n = size").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "class", "component", "s1", "s2")
+    of = cut(of.join(least, "component"))
+    hot, cold = of.where(F.col("members") > HOT).drop("members", "low"), of.where(F.col("members") <= HOT).drop("members", "low")
+    on, out = ["s1", "s2", "n"], ["doc_id", F.col("n").alias("n_shingles"), "component_id", "node", "class", "component", "s1", "s2"]
+    some = rows.where("n > 0")
+    full = some.join(F.broadcast(hot), on).select(*out).unionAll(some.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on).select(*out))
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node", F.col("node").alias("class"), F.col("node").alias("component"), "s1", "s2")
     return full.unionAll(empty)
 
