@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,10 +38,14 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     order = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         each = make()
         for batch in batches:
             new = each(batch)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in order] + list(new), names=order + [f.name for f in fields])
+            del batch, new
+        del each
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -49,7 +54,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session; one is set only where none is, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or f"{tempfile.gettempdir()}/checkpoints")  # one machine: its own folder is shared
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -71,8 +79,23 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What tasks of one operator share in a Python worker, until a task of another operator calls ``release``."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def release() -> None:
-    """Gives memory that a Python worker's task has freed back to the system: workers are kept for later tasks."""
+    """Drops what other operators kept and gives freed memory back to the system: Python workers live on for later tasks."""
+    _KEPT.clear()
+    trim()
+
+
+def trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries keep their own counsel
         ctypes.CDLL(None).malloc_trim(0)
@@ -85,8 +108,26 @@ def sample_ids(labelled: DataFrame, rows: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep: Column, max_chars: int) -> list:
-    """A bounded labelled sample as [(text, label)]: at most about ``rows`` rows of up to ``max_chars`` characters.
+def bounded_texts(found: DataFrame, rows: int, chars: int) -> list:
+    """[(text, label)] of at most ``rows`` of the rows (text, label) and at most ``chars`` characters (one text at least), in order.
+
+    Equal rows count once. The rows come in the order of a hash, so long texts are as likely as short ones: they only leave room for fewer rows.
+    """
+    found = found.withColumn("place", F.xxhash64("text", "label"))
+    first = found.select("place", F.length("text").alias("size")).distinct().orderBy("place", "size").limit(rows).collect()
+    last, held = None, 0
+    for r in first:
+        held += r["size"]
+        if last is not None and held > chars:
+            break
+        last = r["place"]
+    if last is None:
+        return []
+    return sorted((r["text"], r["label"]) for r in found.where(F.col("place") <= last).select("text", "label").distinct().collect())
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep: Column, chars: int) -> list:
+    """A bounded labelled sample as [(text, label)]: at most ``rows`` texts of ``chars`` characters in all.
 
     Only labels whose doc_id satisfies ``keep`` are read; a doc_id labelled twice counts once, with its larger label.
     """
@@ -95,6 +136,5 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, ke
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     )
     chosen = sample_ids(ids, rows)
-    texts = doc_text(docs).where(F.col("text").isNotNull() & (F.length("text") <= max_chars) & keep)
-    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "label").collect()
-    return sorted((r["text"], r["label"]) for r in got)
+    texts = doc_text(docs).where(F.col("text").isNotNull() & keep)
+    return bounded_texts(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), rows, chars)

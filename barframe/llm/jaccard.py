@@ -46,7 +46,7 @@ FREQUENT, BROADCAST_IDS, SMALL = 1 << 19, 1 << 17, 64
 LEAST_COUNT, LEVELS = 2, 1
 #: Bytes hashed at once, tokens counted at once, partners of a hub in one unit, members of a block, rows of texts in an Arrow batch.
 PART_BYTES, COUNT_TOKENS, UNIT, BLOCK = 1 << 20, 1 << 22, 64, 4096
-#: Classes of more rows are joined with their result by broadcast (there are at most rows / HOT of them); combinations up to which empty ones count.
+#: Keys of more rows are joined by broadcast (there are at most rows / HOT of them); combinations up to which empty ones count.
 HOT, SURE = 1000, 32
 
 _rng = np.random.default_rng(20240607)
@@ -240,6 +240,17 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _joined(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row a key; rows of the ``hot`` keys (a bounded table) stay where they are."""
+    few = side.join(F.broadcast(hot), key, "left_semi")
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(side, key))
+
+
+def _hot(counts: DataFrame, key: str) -> DataFrame:
+    """The keys of more than ``HOT`` rows: at most rows / HOT of them."""
+    return cut(counts.where(F.col("count") > HOT).select(key))
+
+
 def _similar(n: Column, m: Column, overlap: Column, similarity: int) -> Column:
     return (100 + similarity) * overlap >= similarity * (n + m)
 
@@ -341,8 +352,8 @@ def _verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, words: int, s
 
     A hub's partners are dealt to units of about ``UNIT``; each unit gets the hub's text once.
     """
-    hubs = pairs.groupBy("a").count()
-    dealt = cut(pairs.join(hubs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / UNIT)).alias("unit")))
+    hubs = cut(pairs.groupBy("a").count())
+    dealt = cut(_joined(pairs.select("a", "b"), hubs, "a", _hot(hubs, "a")).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / UNIT)).alias("unit")))
     wanted = dealt.select(F.col("b").alias("node"), "a", "unit", F.lit(1).alias("role")).unionAll(dealt.select(F.col("a").alias("node"), "a", "unit", F.lit(0)).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,9 +447,10 @@ def _unfinished(buckets: DataFrame, bitmaps: DataFrame, graph: DataFrame | None,
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node that each node of the edges (a, b) reaches."""
     edges = cut(edges.select("a", "b").unionAll(edges.select(F.col("b"), F.col("a"))).distinct())
+    hot = _hot(edges.groupBy("b").count(), "b")
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = _joined(edges, labels.select(F.col("node").alias("b"), "component"), "b", hot).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("root"))
         moved = cut(step.join(jump, "to", "left").select("node", "before", F.least("to", F.coalesce("root", "to")).alias("component")))
@@ -476,8 +488,8 @@ def _links(docs: DataFrame, indexed: DataFrame, classes: DataFrame, words: int,
     while not left.isEmpty():
         if level == 0:  # of each document, the partner with most partners
             both = left.select("a", "b", "apart").unionAll(left.select("b", "a", "apart"))
-            degree = both.groupBy(F.col("b")).count()
-            best = both.join(degree, "b").groupBy("a").agg(F.max(F.struct("count", -F.col("apart"), -F.col("b"), "b")).alias("to"))
+            degree = cut(both.groupBy("b").count())
+            best = _joined(both, degree, "b", _hot(degree, "b")).groupBy("a").agg(F.max(F.struct("count", -F.col("apart"), -F.col("b"), "b")).alias("to"))
             chosen = best.select(F.col("to.b").alias("a"), F.col("a").alias("b"))
         elif level <= LEVELS:  # of each two components, the nearest pair
             nearest = left.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("apart", "a", "b")).alias("to"))

@@ -8,7 +8,8 @@ equal. If a window exceeds the capacity, the window count rises and the group is
 
 Groups are filled and closed within a task, so no row moves and a task that is run again gives the same rows. Sequence ids
 are made of the partition's number and a count within it. A null text is an empty one: its only id is the end id.
-Repeated documents are packed as often as they occur.
+Repeated documents are packed as often as they occur; chunks of equal size keep their order. An empty table gives no piece. Columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barframe.llm.common import kept, trim
+
 CAPACITY = 2048
 WINDOWS = 128
 CHUNK = 512
@@ -172,16 +175,12 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: i
         close()
         if rows:
             yield out()
+        trim()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-_MADE: dict = {}
-
-
 def _tokens(vocabulary: str, ranks: str | None) -> Tokens:
-    """One encoder for each Python worker, its cache kept between tasks."""
-    if (vocabulary, ranks) not in _MADE:
-        _MADE[vocabulary, ranks] = Tokens(vocabulary, ranks)
-    return _MADE[vocabulary, ranks]
+    """One encoder for each Python worker, its cache kept between tasks of this operator."""
+    return kept(("tokens", vocabulary, ranks), lambda: Tokens(vocabulary, ranks))

@@ -10,7 +10,9 @@ on and are replaced by a class label, from ``remove`` on removed: at every place
 In all other documents a term is removed where its largest share reaches ``remove``, that is where it alone gives an entity
 away; terms between the two bounds stay there.
 
-A null text is empty. Copies of a passage are one context. Spans count code points, ends exclusive.
+A null or empty text has no spans; very long texts are read whole. Copies of a passage are one context; repeated rows are documents of their own
+and get the same spans. Spans that begin at one place are listed by kind. An empty table gives an empty result. A column named
+pii_spans is replaced by ``annotate`` and kept by ``sanitise``. Spans count code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barframe.llm.common import append_columns, cut
+from barframe.llm.common import append_columns, cut, release
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, CONTEXTS, GENERALISE, REMOVE = 6, 3, 0.6, 0.9
@@ -148,6 +150,7 @@ def co_occurrence(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                             seen.setdefault((value, term), context)
                     rows += [(v, x, c) for (v, x), c in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["entity", "term", "context"])
+        release()
 
     return docs.select("text").mapInArrow(run, "entity string, term string, context long")
 
@@ -176,6 +179,8 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
                     yield part()
                     counts.clear()
         yield part()
+        counts.clear()
+        release()
 
     return docs.select("text").mapInArrow(run, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
@@ -218,6 +223,7 @@ def _terms_of_texts(docs: DataFrame, pairs: DataFrame, remove: float) -> DataFra
                             if share is not None:
                                 rows.append((key, term, share))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["key", "term", "share"])
+            release()
 
         part = docs.mapInArrow(run, "key long, term string, share double")
         out = part if out is None else out.unionAll(part)
