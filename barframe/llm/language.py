@@ -3,11 +3,13 @@
 A text is the average of the embeddings of its subwords: runs of two to four bytes within a word or over its edge, A-Z
 lower-cased, hashed into ``BUCKETS`` rows. Embeddings and softmax are trained together by mini-batch stochastic
 gradient descent in numpy; since both are linear, scoring needs one weight per bucket and language. A temperature is
-fitted on rows kept from the descent, and the rejection threshold is the least confidence above which those rows are right in the
-share asked for; the prediction below it stays and is marked as rejected.
+fitted on a tenth of the rows, which the descent does not see, and on another tenth the rejection threshold: the least confidence from
+which on those rows are right in the share asked for. The prediction below it stays and is marked as rejected; where no confidence gives that
+share, or fewer than ``LEAST_KEPT`` rows are there to show it, every row is rejected.
 
-Training reads a bounded sample of labelled rows, scoring whole texts. Null texts and texts without a letter are ``und``
-with score 0. Without labelled rows every text is ``und``.
+Training reads a bounded sample of labelled rows, scoring whole texts, however long. Null texts and texts without a letter are ``und``
+with score 0 and rejected. Without labelled rows every text is ``und``; an empty table gives an empty result. Repeated rows get the same
+answer each, equally likely languages the first by name. Columns named like a result are replaced by it; others are not read.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barframe.llm.common import append_columns, doc_text, sample_ids
+from barframe.llm.common import append_columns, bounded_texts, doc_text, sample_ids
 
-TRAIN_ROWS, TRAIN_CHARS = 2500, 30_000
+#: Rows of the training sample, and characters of all its texts.
+TRAIN_ROWS, TRAIN_CHARS = 2500, 30_000_000
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 12, 16, 12, 32, 4.0
-PRECISION = 0.99
+PRECISION, LEAST_KEPT = 0.99, 5
+REJECT_ALL = 2.0
 _BITS = BUCKETS.bit_length() - 1
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -69,7 +73,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> dict:
     y = np.array([names.index(x) for x in langs])
     x = np.array([histogram(t.encode()) for t in texts], np.float32)
     order = rng.permutation(len(y))
-    kept, learn = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 50 else (order, order)
+    tenth = max(len(y) // 10, min(LEAST_KEPT, len(y) // 4))
+    tuned, kept, learn = order[:tenth], order[tenth : 2 * tenth], order[2 * tenth :]
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     head = rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32)
     scale = np.float32(np.sqrt(BUCKETS) / 4)  # averages of many rows are small
@@ -85,24 +90,33 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> dict:
             head -= np.float32(rate * 0.1) * (mean.T @ g)
             table -= np.float32(rate) * (x[at].T @ down) * scale
     weights = (table @ head * scale).astype(float)
-    z, truth = x[kept] @ weights, y[kept]
+    temperature = fit_temperature(x[tuned] @ weights, y[tuned]) if tenth else 1.0
+    p = _softmax(x[kept] @ weights / temperature)
+    return {"languages": names, "weights": weights, "temperature": temperature, "threshold": rejection(p.max(axis=1), p.argmax(axis=1) == y[kept])}
+
+
+def fit_temperature(z: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of the least log loss."""
     grid = np.geomspace(0.2, 10, 60)
     loss = [-np.log(_softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
-    temperature = float(grid[int(np.argmin(loss))])
-    p = _softmax(z / temperature)
-    sure, right = p.max(axis=1), p.argmax(axis=1) == truth
-    threshold = 0.0
-    for c in np.sort(sure):
-        if right[sure >= c].mean() >= PRECISION:
-            threshold = float(c)
-            break
-    return {"languages": names, "weights": weights, "temperature": temperature, "threshold": threshold}
+    return float(grid[int(np.argmin(loss))])
+
+
+def rejection(sure: np.ndarray, right: np.ndarray, precision: float = PRECISION) -> float:
+    """The least confidence from which on the share of right rows is at least ``precision``; above 1 where there is none."""
+    if len(sure) < LEAST_KEPT:
+        return REJECT_ALL
+    order = np.argsort(-sure, kind="stable")
+    share = np.cumsum(right[order]) / np.arange(1, len(sure) + 1)
+    last = np.append(sure[order][1:] < sure[order][:-1], True)  # rows of one confidence pass together
+    ok = np.flatnonzero((share >= precision) & last)
+    return float(sure[order][ok[-1]]) if len(ok) else REJECT_ALL
 
 
 def train(docs: DataFrame, keep: Column, rows: int = TRAIN_ROWS) -> dict:
-    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & keep & (F.length("text") <= TRAIN_CHARS))
-    got = sample_ids(named.select("doc_id", "text", "lang"), rows).select("text", F.col("lang").cast("string").alias("lang")).collect()
-    got = sorted((r["text"], r["lang"]) for r in got if has_letter(r["text"]))
+    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & keep)
+    got = bounded_texts(sample_ids(named.select("doc_id", "text", F.col("lang").cast("string").alias("label")), rows), rows, TRAIN_CHARS)
+    got = [r for r in got if has_letter(r[0])]
     return fit([t for t, _ in got], [x for _, x in got])
 
 

@@ -4,8 +4,9 @@ Shallow boosted trees on the statistics of labelled texts propose rules: every p
 comparisons. A lasso logistic regression over the rules, solved by accelerated proximal steps, keeps few of them, and those are
 compiled into one Spark column expression over the statistics.
 
-Training reads a bounded sample of labelled rows, scoring whole texts. Null texts count as empty, all of whose statistics
-are 0. Without labels of both classes every score is the share of label 1 (0 without labels).
+Training reads a bounded sample of labelled rows, scoring whole texts, however long. Null texts count as empty, all of whose statistics
+are 0. Without labels of both classes every score is the share of label 1 (0 without labels). Repeated rows get the same score each; an
+empty table gives an empty result. Columns named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import types as T
 
 from barframe.llm.common import append_columns, labelled_texts
 
-TRAIN_ROWS, TRAIN_CHARS = 4000, 60_000
+#: Labelled rows of the training sample, and characters of all its texts.
+TRAIN_ROWS, TRAIN_CHARS = 4000, 40_000_000
 TREES, DEPTH, LEAF, SHRINK, BINS = 40, 3, 15, 0.3, 32
 LASSO, STEPS = 0.002, 400
 STATS = ("chars", "words", "mean_word", "symbols", "marks", "upper_words", "digits", "bars", "top_word", "repeats", "distinct", "lines", "same_lines", "top_line", "odd_ends", "no_letters")

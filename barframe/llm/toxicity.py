@@ -6,8 +6,10 @@ with the Levenshtein automaton of each term's distance; the subset construction
 which all tokens of a batch walk together. A hit's window of neighbours tells quotation (quotation marks around it, a
 reporting word before it) from abuse, and a logistic model weighs exact, misspelled and quoted hits.
 
-Training reads a bounded sample of labelled rows, scoring whole texts. Null, empty and wordless texts have no hits and get
-the model's score for that. Without labels of both classes every score is 0.
+Training reads a bounded sample of labelled rows, scoring whole texts, however long. The weights are fitted on hits of a lexicon that other
+rows taught: each half of the sample is scanned with the lexicon of the other half; the lexicon that is used comes from all rows.
+Null, empty and wordless texts have no hits and get the model's score for that. Without labels of both classes every score is 0.
+Repeated rows get the same score each; an empty table gives an empty result. Columns named like a result are replaced by it, in ``reject`` kept.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import types as T
 
 from barframe.llm.common import append_columns, labelled_texts
 
-#: Labelled rows of the training sample, their greatest length, and terms of the lexicon.
-TRAIN_ROWS, TRAIN_CHARS, TERMS = 4000, 60_000, 400
+#: Labelled rows of the training sample, characters of all its texts, and terms of the lexicon.
+TRAIN_ROWS, TRAIN_CHARS, TERMS = 4000, 40_000_000, 400
 LEAST_CONTEXTS, PURITY, STEM = 5, 0.95, 4
 WINDOW, THRESHOLD = 4, 0.3
 PART_CHARS, KNOWN = 1 << 20, 600_000
@@ -268,14 +270,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "toxic", rows: int = TRAIN_ROWS) -> dict:
-    """lexicon and weights from a bounded sample; half of it teaches the lexicon, all of it the weights."""
+    """lexicon and weights from a bounded sample; no row is weighed by a lexicon that it taught."""
     sample = labelled_texts(docs, labels, label, rows, keep, TRAIN_CHARS)
     y = np.array([t[1] for t in sample], float)
     if not len(y) or y.min() == y.max():
         return {"lexicon": [], "weights": None}
-    lexicon = learn_lexicon(sample)
-    x = Scanner(Automaton(lexicon)).features([t[0] for t in sample])
-    return {"lexicon": lexicon, "weights": fit_logistic(x, y).tolist()}
+    x = np.zeros((len(sample), FEATURES))
+    for half in range(2):
+        other = Scanner(Automaton(learn_lexicon(sample[1 - half :: 2])))
+        x[half::2] = other.features([t[0] for t in sample[half::2]])
+    return {"lexicon": learn_lexicon(sample), "weights": fit_logistic(x, y).tolist()}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
