@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -302,11 +303,37 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), "vec_id", "embedding", df, 5).count() == 0
 
 
-def test_topk_reads_few_exact_vectors():
+def test_topk_reads_few_exact_vectors(spark):
+    """The cells leave few pairs, and the k best are among them; repeated rows and blocks of queries change nothing."""
     x = np.floor(256 * RNG.normal(size=(2000, 16)) / 4)
-    stats, best = {}, topk.Best(np.array([-1]), 5)
-    topk.scan(best, x[:1], set(), np.arange(2000), x, topk.BITS, stats)
-    assert [i for _, i in best.rows[0]] == np.argsort(-(x @ x[0]), kind="stable")[:5].tolist() and stats["exact"] < 400
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    limits = topk.ranges(df)
+    file = topk.approximation_file(df, limits)
+    assert file.count() == 2000 and file.columns == ["id", "d", "cells"]
+    for block in (4096, 3):
+        left = collections.defaultdict(set)
+        for r in topk.candidates(file, df.where("id % 200 = 0"), limits, 5, query_block=block).collect():
+            left[r["query_id"]].add(r["vec_id"])
+        assert len(left) == 10 and sum(map(len, left.values())) < 400 * 10
+        for q, some in left.items():
+            score = x @ x[q]
+            score[q] = -np.inf
+            assert set(np.argsort(-score, kind="stable")[:5].tolist()) <= some
+
+
+@pytest.mark.parametrize("big", [1e5, 1e10, 1e200, 1e307])
+def test_topk_large_components(spark, big):
+    """Scores beyond a long count as its bound; what a double cannot hold 256-fold takes no part."""
+    rows = [(0, [1.0, 2.0]), (1, [big, 1.0]), (2, [-big, 1.0]), (3, [0.5, 0.5]), (50, [big, big])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if all(np.isfinite(256 * x) for x in v)]
+    want = []
+    for q, a in ok:
+        if q % 50 == 0:
+            score = [(max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in ok if i != q]
+            want += [(q, n + 1, i, s) for n, (s, i) in enumerate(sorted(score, key=lambda r: (-r[0], r[1])))]
+    got = topk.top_k(df, "vec_id", "embedding", df.where("vec_id % 50 = 0"), 5)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 # --- Jaccard join
@@ -479,6 +506,73 @@ def test_language(corpus, empty):
     assert language.identify(empty, held).count() == 0
 
 
+def brute_shares(text):
+    """Shares of hashed subwords, one after the other: runs of two to four bytes within a word or over its edge."""
+    b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in b" " + text.encode() + b" "]
+    out = np.zeros(language.BUCKETS)
+    for n in (2, 3, 4):
+        for i in range(len(b) - n + 1):
+            run = b[i : i + n]
+            if 32 in run[1:-1] or run[0] == run[-1] == 32:
+                continue
+            h = n
+            for c in run:
+                h = (h ^ c) * 16777619 % (1 << 32)
+            out[h * 2654435761 % (1 << 32) >> (32 - language.BUCKETS.bit_length() + 1)] += 1
+    return out / max(out.sum(), 1)
+
+
+def test_language_predictions(spark):
+    """Scores of whole texts against subwords counted one by one, with nulls, a very long text, repeats and clashing names."""
+    texts = [prose(30, 5), "Sch" + prose(4000, 6), "é ß", "a", None, "", "12 !", prose(30, 5)]
+    model = language.fit([prose(40, i) for i in range(60)] + ["sch" + prose(30, i).replace(" ", " sch") for i in range(60)], ["en"] * 60 + ["de"] * 60)
+    docs = spark.createDataFrame([(i, t, "x", 9.0, True) for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string, score double, rejected boolean")
+    got = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    for i, t in enumerate(texts):
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
+            continue
+        z = brute_shares(t) @ model["weights"] / model["temperature"]
+        e = np.exp(z - z.max())
+        assert got[i]["lang_pred"] == model["languages"][int(z.argmax())] and abs(got[i]["score"] - e.max() / e.sum()) < 1e-9
+        assert got[i]["rejected"] == (got[i]["score"] < model["threshold"])
+    assert got[0]["score"] == got[7]["score"]
+
+
+def test_language_rejection(spark):
+    sure, right = np.array([0.9, 0.8, 0.8, 0.7, 0.6, 0.5]), np.array([True, True, False, True, True, True])
+    brute = [c for c in sorted(set(sure)) if right[sure >= c].mean() >= 0.8]
+    assert language.rejection(sure, right, 0.8) == min(brute) == 0.5 and language.rejection(sure, right, 0.9) == 0.9
+    assert language.rejection(sure, ~right, 0.99) > 1 and language.rejection(sure[:2], right[:2], 0.5) > 1
+    r = np.random.default_rng(3)  # labels that no text can tell: every row is rejected
+    model = language.fit([prose(20, i) for i in range(200)], [("en", "de", "fr")[k] for k in r.integers(0, 3, 200)])
+    docs = spark.createDataFrame([(i, prose(20, 500 + i)) for i in range(20)], "doc_id long, text string")
+    assert all(x["rejected"] for x in language.predict(docs, model).collect())
+    few = language.fit(["one two", "eins zwei"], ["en", "de"])
+    assert few["threshold"] > 1 and language.fit([], [])["languages"] == []
+
+
+def test_scores_of_odd_rows(spark, corpus):
+    """Quality and toxicity: a very long text, repeated rows, ties and columns named like results."""
+    _, labels = corpus
+    texts = [prose(60, 1), prose(20_000, 2) + " blockhead", None, "", prose(60, 1), "blockhead " * 3]
+    docs = spark.createDataFrame([(i % 5, t, 0.5, "s", [1], 2.0, 7) for i, t in enumerate(texts)], "doc_id long, text string, tox_score double, stats string, tox_hits array<int>, quality_score double, score int")
+    model = {"lexicon": [("blockhead", False)], "weights": [9.0] + [0.0] * (toxicity.FEATURES - 1) + [-4.0]}
+    got = toxicity.score(docs, model).orderBy("doc_id", "text").collect()
+    assert [(r["doc_id"], r["tox_score"] > 0.3, r["score"]) for r in got] == [(0, True, 7), (0, False, 7), (1, True, 7), (2, False, 7), (3, False, 7), (4, False, 7)]
+    kept = toxicity.reject(docs, model)
+    assert kept.columns == docs.columns and sorted(r["tox_score"] for r in kept.collect()) == [0.5] * 4
+    rules = {"rules": [(((0, ">", 3.0),), 2.0)], "constant": -1.0}
+    found = quality.score(docs, rules).orderBy("doc_id", "text").collect()
+    assert len(found) == 6 and all(abs(r["quality_score"] - 1 / (1 + np.exp(1 - 2.0 * bool(r["text"])))) < 1e-12 for r in found)
+    sample = [(r["text"], r["label"]) for r in spark.createDataFrame([(prose(5, i % 4), i % 2) for i in range(40)], "text string, label int").collect()]
+    table = spark.createDataFrame(sample, "text string, label int")
+    from barframe.llm import common
+
+    assert common.bounded_texts(table, 100, 10**9) == sorted(set(sample)) and len(common.bounded_texts(table, 2, 10**9)) == 2 and len(common.bounded_texts(table, 100, 1)) == 1
+    assert common.bounded_texts(table.limit(0), 5, 10) == []
+
+
 def test_digest():
     assert decontaminate.digest(["2", "10"]) == hashlib.sha256(b"10,2").hexdigest()
 
