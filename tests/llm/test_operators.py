@@ -248,6 +248,57 @@ def test_decontamination(spark, docs, empty, block_bytes):
     assert left.columns == docs.columns and not {r["doc_id"] for r in left.collect()} & {4, 8, 12, 13}
 
 
+def test_suffix_array():
+    r = np.random.default_rng(4)
+    for n, top in ((0, 3), (1, 3), (60, 3), (400, 5)):
+        ids = r.integers(0, top, n)
+        words_from = lambda p: [int(x) for x in ids[p : p + next((k for k, x in enumerate(ids[p:]) if x == 0), n)]]  # noqa: B023, E731
+        got = decontaminate.suffix_array(ids, n).tolist()
+        assert sorted(got) == np.flatnonzero(ids).tolist()
+        assert [words_from(p) for p in got] == sorted(words_from(p) for p in np.flatnonzero(ids))
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_longest_matches(spark, monkeypatch, block_bytes):
+    """Every suffix of the benchmark against every place of every document."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 300)
+    r = np.random.default_rng(12)
+    some = lambda n: " ".join(f"w{k}" for k in r.integers(0, 6, n))
+    items = {"a": some(25), "b": some(14), "c": "zz", "d": None, "e": ""}
+    texts = [some(60) for _ in range(8)] + [items["a"] + " q", "q " + items["b"], None, "", some(2000)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, length int").repartition(3)
+    bench = spark.createDataFrame(list(items.items()), "item_id string, text string")
+    got = {(x["item_id"], x["offset"]): (x["length"], x["doc_id"], x["start"]) for x in decontaminate.longest_matches(docs, bench, block_bytes).collect()}
+    want = {}
+    for name, text in items.items():
+        w = (text or "").split()
+        for o in range(len(w)):
+            best = (0, 0, 0)
+            for d, t in enumerate(texts):
+                v = (t or "").split()
+                for p in range(len(v)):
+                    n = 0
+                    while o + n < len(w) and p + n < len(v) and w[o + n] == v[p + n]:
+                        n += 1
+                    best = max(best, (n, -d, -p))
+            if best[0]:
+                want[name, o] = best
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] for k in want)
+    for (name, o), (n, d, p) in got.items():
+        assert texts[d].split()[p : p + n] == items[name].split()[o : o + n]
+    found = {x["doc_id"]: x["longest_match"] for x in decontaminate.matches(docs, bench, 6, block_bytes).collect()}
+    for d, t in enumerate(texts):
+        v, best = (t or "").split(), 0
+        for w in (items["a"].split(), items["b"].split(), ["zz"]):
+            for p in range(len(v)):
+                for o in range(len(w)):
+                    n = 0
+                    while o + n < len(w) and p + n < len(v) and w[o + n] == v[p + n]:
+                        n += 1
+                    best = max(best, n if n >= min(6, len(w)) else 0)
+        assert found[d] == best, d
+
+
 # --- licences and secrets
 
 
