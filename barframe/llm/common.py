@@ -23,6 +23,18 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``text`` as it goes to Python, once, and all other columns, whatever their names, in ``row``."""
+    others = [F.col(f"`{n}`") for n in docs.columns if n != "text"]
+    return docs.select((F.struct(*others) if others else F.lit(0)).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def unwrapped(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` from what ``wrapped`` made of it."""
+    kind = like.schema["text"].dataType
+    return rows.select(*[F.col("text").cast(kind).alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in like.columns])
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))
 

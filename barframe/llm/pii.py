@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barframe.llm.common import append_columns, cut, release
+from barframe.llm.common import append_columns, cut, release, unwrapped, wrapped
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, CONTEXTS, GENERALISE, REMOVE = 6, 3, 0.6, 0.9
@@ -231,28 +231,40 @@ def _terms_of_texts(docs: DataFrame, pairs: DataFrame, remove: float) -> DataFra
     return cut(once.groupBy(F.col("key").alias("pii_key")).agg(F.collect_list(F.struct("term", "share")).alias("pii_spans")))
 
 
-def annotate(docs: DataFrame, window: int = WINDOW, contexts: int = CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """``docs`` with pii_spans: base spans of the four kinds, and ``generalise`` or ``remove`` spans of disclosing terms."""
-    docs = docs.drop("pii_spans").withColumn("text", F.col("text").cast("string"))
-    terms = _terms_of_texts(docs, disclosing(docs, window, contexts, generalise), remove)
+_ORDER = (*KINDS, "generalise", "remove")
+
+
+def _spans(text: str, of: list[dict] | None, remove: float) -> list[tuple[str, int, int]]:
+    """Base spans of a text, and those of its disclosing terms (term, share)."""
+    spans = entities(text)
+    if of:
+        known, touched = {x["term"]: x["share"] for x in of}, _touched(spans)
+        for m in _TERM.finditer(text):
+            if (share := known.get(m.group().lower())) is not None and not touched(m.start(), m.end()):
+                spans.append(("remove" if share >= remove else "generalise", m.start(), m.end()))
+    return sorted(spans, key=lambda x: (x[1], _ORDER.index(x[0])))
+
+
+def _told(docs: DataFrame, settings: dict) -> DataFrame:
+    """``docs`` (text as a string) with the disclosing terms of every text as pii_spans."""
+    given = {k: v for k, v in settings.items() if k != "remove"}
+    terms = _terms_of_texts(docs, disclosing(docs, **given), settings.get("remove", REMOVE))
     few = F.broadcast(terms) if terms.count() <= BLOCK_ROWS else terms
-    told = docs.join(few, F.xxhash64(docs["text"]) == terms["pii_key"], "left").drop(terms["pii_key"])
+    return docs.join(few, F.xxhash64(docs["text"]) == terms["pii_key"], "left").drop(terms["pii_key"])
 
-    def make():
-        order = (*KINDS, "generalise", "remove")
 
+def annotate(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with pii_spans: base spans of the four kinds, and ``generalise`` or ``remove`` spans of disclosing terms.
+
+    Settings: window, contexts, generalise and remove.
+    """
+    told = _told(docs.drop("pii_spans").withColumn("text", F.col("text").cast("string")), settings)
+    remove = settings.get("remove", REMOVE)
+
+    def make():
         def each(batch: pa.RecordBatch) -> list:
-            got = []
-            for t, of in zip(batch.column("text"), batch.column("pii_spans").to_pylist()):
-                t = t.as_py() or ""
-                spans = entities(t)
-                if of:
-                    known, touched = {x["term"]: x["share"] for x in of}, _touched(spans)
-                    for m in _TERM.finditer(t):
-                        if (share := known.get(m.group().lower())) is not None and not touched(m.start(), m.end()):
-                            spans.append(("remove" if share >= remove else "generalise", m.start(), m.end()))
-                got.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(spans, key=lambda x: (x[1], order.index(x[0])))])
-            return [pa.array(got, _SPAN_ARROW)]
+            got = [_spans(t.as_py() or "", of, remove) for t, of in zip(batch.column("text"), batch.column("pii_spans").to_pylist())]
+            return [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in got], _SPAN_ARROW)]
 
         return each
 
@@ -271,20 +283,18 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def sanitise(docs: DataFrame, **settings) -> DataFrame:
     """The documents with sanitised texts (and n_chars to match, where there is one); nulls stay null."""
-    names, has = docs.columns, "n_chars" in docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names if n not in ("text", "n_chars")]).alias("row"), *[F.lit(0).cast("long").alias("n_chars") if n == "n_chars" else F.col("text").cast("string").alias("text") for n in names if n in ("text", "n_chars")])
-    marked = annotate(rows, **settings)
+    told, remove = _told(wrapped(docs), settings), settings.get("remove", REMOVE)
 
     def make():
         def each(batch: pa.RecordBatch) -> list:
             new = []
-            for t, spans in zip(batch.column("text"), batch.column("pii_spans").to_pylist()):
+            for t, of in zip(batch.column("text"), batch.column("pii_spans").to_pylist()):
                 t = t.as_py()
-                new.append(t if t is None or not spans else redact(t, [(x["kind"], x["start"], x["end"]) for x in spans]))
+                new.append(redact(t, spans) if t and (spans := _spans(t, of, remove)) else t)
             return [pa.array(new, pa.string())]
 
         return each
 
-    done = append_columns(marked, make, [T.StructField("text", T.StringType())])
-    kind = dict(docs.dtypes).get("n_chars", "long")
-    return done.select(*[F.col("text") if n == "text" else F.length("text").cast(kind).alias(n) if n == "n_chars" and has else F.col("row").getField(n).alias(n) for n in names])
+    done = append_columns(told, make, [T.StructField("text", T.StringType())])
+    kinds = dict(docs.dtypes)
+    return unwrapped(done, docs).withColumns({"n_chars": F.length("text").cast(kinds["n_chars"])} if "n_chars" in kinds else {})

@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barframe.llm.common import append_columns, labelled_texts
+from barframe.llm.common import append_columns, labelled_texts, unwrapped, wrapped
 
 #: Labelled rows of the training sample, characters of all its texts, and terms of the lexicon.
 TRAIN_ROWS, TRAIN_CHARS, TERMS = 4000, 40_000_000, 400
 LEAST_CONTEXTS, PURITY, STEM = 5, 0.95, 4
 WINDOW, THRESHOLD = 4, 0.3
-PART_CHARS, KNOWN = 1 << 20, 600_000
+PART_CHARS, KNOWN = 1 << 20, 300_000
 _QUOTES = "\"“”«»„‟"
 _REPORTING = frozenset("said says quote quoted quotes wrote called reported replied".split())
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -209,9 +209,11 @@ class Scanner:
     def __init__(self, automaton: Automaton):
         self.automaton, self.hits, self.clean = automaton, {}, set()
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def features(self, texts) -> np.ndarray:
+        """One row for each text of a list or an Arrow array."""
         out, part, size = [], [], 0
         for t in texts:
+            t = t.as_py() if isinstance(t, pa.Scalar) else t
             part.append(tokens(t) if t else [])
             size += len(t or "")
             if size >= PART_CHARS:
@@ -293,7 +295,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         def each(batch: pa.RecordBatch) -> list:
             if scanner is None:
                 return [pa.array(np.zeros(batch.num_rows)), pa.array([[0, 0, 0]] * batch.num_rows, pa.list_(pa.int64()))]
-            x = scanner.features(batch.column("text").to_pylist())
+            x = scanner.features(batch.column("text"))
             z = x @ np.array(weights[:-1]) + weights[-1]
             counts = np.rint(np.expm1(x[:, [1, 3, 5]])).astype(np.int64)
             return [pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30)))), pa.array(counts.tolist(), pa.list_(pa.int64()))]
@@ -306,6 +308,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def reject(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score is under the threshold, with their own columns."""
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("text").cast("string").alias("text"))
-    return score(rows, model).where(F.col("tox_score") < threshold).select(*[F.col("row").getField(n).alias(n) for n in names])
+    return unwrapped(score(wrapped(docs), model).where(F.col("tox_score") < threshold), docs)
