@@ -153,6 +153,7 @@ class Account:
         self.max_drawdown = self.max_runup = 0.0
         self.max_drawdown_percent = self.max_runup_percent = 0.0
         self.max_held = {0: 0.0, 1: 0.0, -1: 0.0}
+        self.entry_name = ""
         # risk rules
         self.allowed = 0
         self.limits: dict[str, float] = {}
@@ -191,6 +192,32 @@ class Account:
         price = (self.pot.without(self) - n * self.position_avg_price) / (abs(n) * m - n)
         return price if price > 0 else None
 
+    def profits(self, sign: int) -> list[float]:
+        """Profits of the closed trades that won (1), lost (-1) or came out even (0)."""
+        return [t["profit"] for t in self.ledger if (t["profit"] > 0) - (t["profit"] < 0) == sign]
+
+    def read(self, name: str) -> float | int | str | None:
+        """A named statistic of the account, see ``READS``."""
+        return READS[name](self)
+
+    def trade(self, closed: bool, field: str, number: int) -> float | int | str | None:
+        """A field of a closed trade or, one a lot, of an open one; None where there is no such trade or field."""
+        if not 0 <= number < len(self.ledger if closed else self.lots):
+            return None
+        if closed:
+            t = self.ledger[number]
+            row = {**t, "size": t["dir"] * t["qty"], "entry_bar_index": t["entry_bar"], "exit_bar_index": t["exit_bar"], "cumprofit": t["cum_profit"], "cumulative_profit": t["cum_profit"]}
+        else:
+            x, side = self.lots[number], 1 if self.size > 0 else -1
+            row = {
+                "profit": side * (self.mark - x.price) * x.qty, "entry_price": x.price, "entry_bar_index": x.bar.index, "entry_time": x.bar.time, "size": side * x.qty, "qty": x.qty, "entry_id": x.id, "commission": x.fee,
+                "max_runup": x.up * x.qty, "max_drawdown": x.down * x.qty,
+            }
+        base = field.removesuffix("_percent")
+        if base != field:
+            return of_cost(row[base], row["entry_price"], row["qty"]) if base in ("profit", "max_runup", "max_drawdown") else None
+        return row.get(field)
+
     # --- what programs order
     def _open_for_orders(self) -> bool:
         return not self.halted and (self.halted_day is None or self.halted_day != self.day)
@@ -279,6 +306,8 @@ class Account:
         if not self._affordable(o.side, qty, price):
             return False
         fee = self.commission(qty, price)
+        if not self.lots:
+            self.entry_name = o.id
         self.lots.append(Lot(o.id, qty, price, self.bar, o.number, o.kind == "entry", fee))
         self.size += o.side * qty
         self.realized -= fee
@@ -305,7 +334,7 @@ class Account:
         self.lots = [x for x in self.lots if x.qty > TINY]
         self.size = side * sum(x.qty for x in self.lots)
         if not self.lots:
-            self.size, self.brackets = 0.0, []
+            self.size, self.brackets, self.entry_name = 0.0, [], ""
 
     def _close(self, price: float, qty: float | None = None, id: str | None = None) -> bool:
         """First in, first out; the exit's fee is shared by quantity."""
@@ -532,6 +561,64 @@ class Account:
         self.curve.append(self.equity)
 
 
+def of_cost(amount: float, price: float, qty: float) -> float:
+    """An amount in percent of what a trade cost."""
+    cost = abs(price * qty)
+    return 100 * amount / cost if cost else 0.0
+
+
+def _mean(values: list[float]) -> float:
+    return sum(values) / len(values) if values else 0.0
+
+
+def _mean_percent(a: Account, keep: Callable[[float], bool], sign: int = 1) -> float:
+    return sign * _mean([of_cost(t["profit"], t["entry_price"], t["qty"]) for t in a.ledger if keep(t["profit"])])
+
+
+def _of_capital(a: Account, amount: float) -> float:
+    return 100 * amount / a.pot.capital if a.pot.capital else 0.0
+
+
+#: What programs may read of an account.
+READS: dict[str, Callable[[Account], object]] = {
+    "position_size": lambda a: a.size,
+    "position_avg_price": lambda a: a.position_avg_price,
+    "position_entry_name": lambda a: a.entry_name,
+    "margin_liquidation_price": lambda a: a.liquidation_price(),
+    "initial_capital": lambda a: a.pot.capital,
+    "account_currency": lambda a: "USD",
+    "equity": lambda a: a.equity,
+    "netprofit": lambda a: a.net_profit,
+    "netprofit_percent": lambda a: _of_capital(a, a.net_profit),
+    "openprofit": lambda a: a.open_profit(a.mark),
+    "openprofit_percent": lambda a: _of_capital(a, a.open_profit(a.mark)),
+    "grossprofit": lambda a: sum(a.profits(1)),
+    "grossprofit_percent": lambda a: _of_capital(a, sum(a.profits(1))),
+    "grossloss": lambda a: -sum(a.profits(-1)),
+    "grossloss_percent": lambda a: _of_capital(a, -sum(a.profits(-1))),
+    "closedtrades": lambda a: len(a.ledger),
+    "opentrades": lambda a: len(a.lots),
+    "wintrades": lambda a: len(a.profits(1)),
+    "losstrades": lambda a: len(a.profits(-1)),
+    "eventrades": lambda a: len(a.profits(0)),
+    "avg_trade": lambda a: _mean([t["profit"] for t in a.ledger]),
+    "avg_trade_percent": lambda a: _mean_percent(a, lambda p: True),
+    "avg_winning_trade": lambda a: _mean(a.profits(1)),
+    "avg_winning_trade_percent": lambda a: _mean_percent(a, lambda p: p > 0),
+    "avg_losing_trade": lambda a: -_mean(a.profits(-1)),
+    "avg_losing_trade_percent": lambda a: _mean_percent(a, lambda p: p < 0, -1),
+    "max_drawdown": lambda a: a.max_drawdown,
+    "max_drawdown_percent": lambda a: a.max_drawdown_percent,
+    "max_runup": lambda a: a.max_runup,
+    "max_runup_percent": lambda a: a.max_runup_percent,
+    "max_contracts_held_all": lambda a: a.max_held[0],
+    "max_contracts_held_long": lambda a: a.max_held[1],
+    "max_contracts_held_short": lambda a: a.max_held[-1],
+    "closedtrades.first_index": lambda a: 0 if a.ledger else None,
+    "opentrades.capital_held": lambda a: abs(a.size * a.position_avg_price) if a.size else 0.0,
+}
+
+
 LEDGER = "symbol string, entry_id string, dir int, qty double, entry_price double, exit_price double, entry_bar long, exit_bar long, entry_time timestamp_ntz, exit_time timestamp_ntz, profit double, cum_profit double, commission double, max_runup double, max_drawdown double"
 Program = Callable[[], Callable[[Account, Bar], None]]
 

@@ -20,33 +20,73 @@ SETTERS = {
 }
 
 
+#: Getters and the property that each reads.
+GETTERS = {"line": ("x1", "y1", "x2", "y2"), "label": ("x", "y", "text"), "box": ("left", "top", "right", "bottom"), "polyline": (), "linefill": ("line1", "line2"), "table": ()}
+
+
 class Log:
-    """Collects events inside a kernel; ids count from 1 in each log."""
+    """Collects events inside a kernel and keeps what is there now; ids count from 1 in each log.
+
+    An object beyond its type's cap, counted from the newest, is no longer there, as in ``final_state``.
+    """
 
-    def __init__(self, symbol: str):
-        self.symbol, self.rows, self.next = symbol, [], 1
+    def __init__(self, symbol: str, caps: dict[str, int] | None = None):
+        self.symbol, self.rows, self.next, self.caps = symbol, [], 1, caps or CAPS
+        self.objects: dict[int, tuple[str, dict]] = {}
 
     def _add(self, bar: int, op: str, id: int, kind: str, props: dict) -> None:
-        self.rows.append((self.symbol, len(self.rows), bar, op, id, kind, {k: str(v) for k, v in props.items() if v is not None}))
+        self.rows.append((self.symbol, len(self.rows), bar, op, id, kind, {k: None if v is None else str(v) for k, v in props.items() if v is not None or op == "set"}))
 
     def new(self, bar: int, kind: str, **props) -> int:
         id, self.next = self.next, self.next + 1
         self._add(bar, "new", id, kind, props)
+        self.objects[id] = (kind, {k: v for k, v in props.items() if v is not None})
+        held = self.all(kind)
+        for old in held[: max(0, len(held) - self.caps[kind])]:
+            del self.objects[old]
         return id
 
-    def copy(self, bar: int, kind: str, of: int) -> int:
-        props: dict = {}
-        for _, _, _, op, id, _, p in self.rows:
-            if id == of:
-                props |= p
-        return self.new(bar, kind, **props)
+    def all(self, kind: str) -> list[int]:
+        """The ids of a type that are there, the oldest first."""
+        return [i for i, (k, _) in self.objects.items() if k == kind]
+
+    def get(self, id: int, prop: str):
+        """A property as it was written, na without the object or the property."""
+        return self.objects[id][1].get(prop) if id in self.objects else None
+
+    def price(self, id: int, x: float) -> float | None:
+        """The height of a line at x, na for an upright line."""
+        x1, y1, x2, y2 = (self.get(id, p) for p in ("x1", "y1", "x2", "y2"))
+        return None if None in (x1, y1, x2, y2, x) or x1 == x2 else y1 + (y2 - y1) * (x - x1) / (x2 - x1)
+
+    def copy(self, bar: int, kind: str, of: int) -> int | None:
+        return self.new(bar, kind, **self.objects[of][1]) if of in self.objects else None
+
+    def write(self, bar: int, kind: str, id: int, props: dict) -> None:
+        """Properties of an object that is there; None takes one away."""
+        if id in self.objects:
+            self._add(bar, "set", id, kind, props)
+            self.objects[id][1].update(props)
 
     def set(self, bar: int, kind: str, setter: str, id: int, *values, cell: tuple[int, int] | None = None) -> None:
         at = f"cell:{cell[0]}:{cell[1]}:" if cell else ""
-        self._add(bar, "set", id, kind, {at + n: v for n, v in zip(SETTERS[kind][setter], values)})
+        self.write(bar, kind, id, {at + n: v for n, v in zip(SETTERS[kind][setter], values)})
+
+    def cell(self, bar: int, id: int, column: int, row: int, **props) -> None:
+        """Defines a cell anew: what it had before is gone."""
+        self.clear(bar, id, column, row)
+        self.write(bar, "table", id, {f"cell:{column}:{row}:{k}": v for k, v in props.items() if v is not None})
+
+    def clear(self, bar: int, id: int, column: int, row: int, end_column: int | None = None, end_row: int | None = None) -> None:
+        """Takes the cells of a region away, both ends included."""
+        columns, rows = range(column, (column if end_column is None else end_column) + 1), range(row, (row if end_row is None else end_row) + 1)
+        gone = {k: None for k in self.objects.get(id, ("", {}))[1] if k.startswith("cell:") and int(k.split(":")[1]) in columns and int(k.split(":")[2]) in rows}
+        if gone:
+            self.write(bar, "table", id, gone)
 
     def delete(self, bar: int, kind: str, id: int) -> None:
         self._add(bar, "delete", id, kind, {})
+        self.objects.pop(id, None)
 
 
 def final_state(events: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
@@ -56,7 +96,7 @@ def final_state(events: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame:
     w = Window.partitionBy("symbol", "type").orderBy(F.desc("id"))
     cap = F.create_map(*[x for t, n in caps.items() for x in (F.lit(t), F.lit(n))])
     alive = kept.where(F.col("op") == "new").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap[F.col("type")]).select("symbol", "id")
-    last = kept.join(alive, ["symbol", "id"]).select("symbol", "type", "id", "seq", F.explode("props").alias("k", "v")).groupBy("symbol", "type", "id", "k").agg(F.max_by("v", "seq").alias("v"))
+    last = kept.join(alive, ["symbol", "id"]).select("symbol", "type", "id", "seq", F.explode("props").alias("k", "v")).groupBy("symbol", "type", "id", "k").agg(F.max_by("v", "seq").alias("v")).where("v IS NOT NULL")
     props = last.groupBy("symbol", "type", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
     return alive.join(kept.where(F.col("op") == "new").select("symbol", "id", "type"), ["symbol", "id"]).join(props, ["symbol", "type", "id"], "left").select("symbol", "type", "id", "props")
 

@@ -92,20 +92,24 @@ def macd(x, fast: int, slow: int, signal: int):
     return line, sig, line - sig
 
 
-def tsi(x, short: int, long: int):
-    a, b, c, d, last = Ema(long), Ema(short), Ema(long), Ema(short), NAN
+class Tsi:
+    """Double smoothed change over double smoothed absolute change."""
 
-    def step(v):
-        nonlocal last
+    def __init__(self, short: int, long: int):
+        self.up, self.all, self.last = (Ema(long), Ema(short)), (Ema(long), Ema(short)), NAN
+
+    def __call__(self, v: float) -> float:
         if v != v:
             return NAN
-        change, last = v - last, v
+        change, self.last = v - self.last, v
         if change != change:
             return NAN
-        top, low = b(a(change)), d(c(abs(change)))
+        top, low = self.up[1](self.up[0](change)), self.all[1](self.all[0](abs(change)))
         return NAN if low == 0 else top / low
 
-    return _each(step, x)
+
+def tsi(x, short: int, long: int):
+    return _each(Tsi(short, long), x)
 
 
 def kc(x, h, lo, c, n: int, mult: float):
@@ -118,64 +122,99 @@ def kcw(x, h, lo, c, n: int, mult: float):
     return np.where(mid == 0, NAN, (up - low) / np.where(mid == 0, 1, mid))
 
 
-def supertrend(h, lo, c, factor: float, n: int):
+class Range:
+    """True range; the first bar's is high less low."""
+
+    def __init__(self):
+        self.before = NAN
+
+    def __call__(self, high: float, low: float, close: float) -> float:
+        c, self.before = self.before, close
+        return high - low if c != c else max(high - low, abs(high - c), abs(low - c))
+
+
+class Supertrend:
     """Line and direction: -1 with the line below the price, 1 above."""
-    width = factor * atr(h, lo, c, n)
-    mid = (h + lo) / 2
-    lower, upper, before, d = NAN, NAN, NAN, 1
-    line, dirs = np.empty(len(c)), np.empty(len(c))
-    for i, (m, w, x) in enumerate(zip(mid.tolist(), width.tolist(), c.tolist())):
-        a, b = m - w, m + w
-        if before == before and lower == lower and before > lower:
-            a = max(a, lower)
-        if before == before and upper == upper and before < upper:
-            b = min(b, upper)
+
+    def __init__(self, factor: float, n: int):
+        self.factor, self.range, self.mean = factor, Range(), Rma(n)
+        self.lower = self.upper = self.before = NAN
+        self.way = 1
+
+    def __call__(self, high: float, low: float, close: float) -> tuple[float, float]:
+        w = self.factor * self.mean(self.range(high, low, close))
+        a, b = (high + low) / 2 - w, (high + low) / 2 + w
+        if self.before > self.lower:  # never true of na
+            a = max(a, self.lower)
+        if self.before < self.upper:
+            b = min(b, self.upper)
         if w == w:
-            d = (-1 if x > b else 1) if d == 1 else (1 if x < a else -1)
-        lower, upper, before = a, b, x
-        line[i], dirs[i] = (a if d == -1 else b), d
-    return line, dirs
+            self.way = (-1 if close > b else 1) if self.way == 1 else (1 if close < a else -1)
+        self.lower, self.upper, self.before = a, b, close
+        return (a if self.way == -1 else b), self.way
 
 
-def dmi(h, lo, c, di: int, adx: int):
-    tr, plus, minus, smooth = Rma(di), Rma(di), Rma(di), Rma(adx)
-    ph = pl = pc = NAN
-    out = np.empty((3, len(c)))
-    for i, (x, y, z) in enumerate(zip(h.tolist(), lo.tolist(), c.tolist())):
-        p = m = 0.0
-        wide = x - y
-        if ph == ph:
-            up, down = x - ph, pl - y
-            p, m = up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0
-            wide = max(wide, abs(x - pc), abs(y - pc))
-        ph, pl, pc = x, y, z
-        r, a, b = tr(wide), plus(p), minus(m)
+class Dmi:
+    """The two directional lines and the smoothed index of their difference."""
+
+    def __init__(self, di: int, adx: int):
+        self.range, self.wide, self.plus, self.minus, self.smooth = Range(), Rma(di), Rma(di), Rma(di), Rma(adx)
+        self.high = self.low = NAN
+
+    def __call__(self, high: float, low: float, close: float) -> tuple[float, float, float]:
+        up, down = high - self.high, self.low - low
+        self.high, self.low = high, low
+        r = self.wide(self.range(high, low, close))
+        a, b = self.plus(up if up > down and up > 0 else 0.0), self.minus(down if down > up and down > 0 else 0.0)
         a, b = (0.0, 0.0) if r == 0 else (100 * a / r, 100 * b / r)
-        dx = 0.0 if a + b == 0 else 100 * abs(a - b) / (a + b)
-        out[:, i] = a, b, smooth(dx)
-    return tuple(out)
+        return a, b, self.smooth(0.0 if a + b == 0 else 100 * abs(a - b) / (a + b))
 
 
-def sar(h, lo, c, start: float, inc: float, top: float):
+class Sar:
     """Stop and reverse: na on the first bar, the trend of the second from its close, clamped by two bars."""
-    out = np.full(len(c), NAN)
-    highs, lows, closes = h.tolist(), lo.tolist(), c.tolist()
-    for i in range(1, len(out)):
-        fresh = i == 1
+
+    def __init__(self, start: float, inc: float, top: float):
+        self.start, self.inc, self.top = start, inc, top
+        self.past: list[tuple[float, float, float]] = []  # high, low and close of the last two bars
+        self.seen = 0
+
+    def __call__(self, high: float, low: float, close: float) -> float:
+        self.seen += 1
+        y = NAN if self.seen == 1 else self._step(high, low, close)
+        self.past = [*self.past[-1:], (high, low, close)]
+        return y
+
+    def _step(self, high: float, low: float, close: float) -> float:
+        fresh = self.seen == 2
         if fresh:
-            below = closes[1] > closes[0]
-            extreme, y, speed = (highs[1], lows[0], start) if below else (lows[1], highs[0], start)
-        y += speed * (extreme - y)
-        if below and y > lows[i]:
-            fresh, below, y, extreme, speed = True, False, max(highs[i], extreme), lows[i], start
-        elif not below and y < highs[i]:
-            fresh, below, y, extreme, speed = True, True, min(lows[i], extreme), highs[i], start
-        if not fresh and (highs[i] > extreme if below else lows[i] < extreme):
-            extreme, speed = (highs[i] if below else lows[i]), min(speed + inc, top)
-        near = slice(max(0, i - 2), i)
-        y = min(y, *lows[near]) if below else max(y, *highs[near])
-        out[i] = y
-    return out
+            h0, l0, c0 = self.past[-1]
+            self.below = close > c0
+            self.extreme, self.y, self.speed = (high, l0, self.start) if self.below else (low, h0, self.start)
+        y = self.y + self.speed * (self.extreme - self.y)
+        if self.below and y > low:
+            fresh, self.below, y, self.extreme, self.speed = True, False, max(high, self.extreme), low, self.start
+        elif not self.below and y < high:
+            fresh, self.below, y, self.extreme, self.speed = True, True, min(low, self.extreme), high, self.start
+        if not fresh and (high > self.extreme if self.below else low < self.extreme):
+            self.extreme, self.speed = (high if self.below else low), min(self.speed + self.inc, self.top)
+        self.y = min(y, *[p[1] for p in self.past]) if self.below else max(y, *[p[0] for p in self.past])
+        return self.y
+
+
+def _columns(f, *xs) -> tuple[np.ndarray, ...]:
+    return tuple(np.array([f(*v) for v in zip(*(x.tolist() for x in xs))], float).reshape(len(xs[0]), -1).T)
+
+
+def supertrend(h, lo, c, factor: float, n: int):
+    return _columns(Supertrend(factor, n), h, lo, c)
+
+
+def dmi(h, lo, c, di: int, adx: int):
+    return _columns(Dmi(di, adx), h, lo, c)
+
+
+def sar(h, lo, c, start: float, inc: float, top: float):
+    return _each(Sar(start, inc, top), h, lo, c)
 
 
 HLC = ("high", "low", "close")

@@ -70,13 +70,132 @@ def equity_metrics(curve: DataFrame, periods_per_year: float, risk_free: float =
         (F.col("position") != 0).cast("double").alias("in"),
     )
     root = float(periods_per_year) ** 0.5
-    down = F.sqrt(F.sum(F.when(F.col("r") < 0, F.col("r") * F.col("r")).otherwise(0.0)) / F.count("r"))
+    down = F.sqrt(F.avg(F.when(F.col("r") < -FLAT, F.col("r") * F.col("r"))))  # over the negative returns alone
     return staged.groupBy(*k.by).agg(
         (div(F.avg("r") - risk_free / periods_per_year, F.stddev_pop("r")) * root).alias("sharpe"), (div(F.avg("r") - risk_free / periods_per_year, down) * root).alias("sortino"),
         (F.stddev_pop("r") * root).alias("volatility"), F.max("dd").alias("max_drawdown"), F.max("ru").alias("max_runup"), F.avg("in").alias("exposure"),
     )
 
 
+YEAR_SECONDS = 365.25 * 86_400
+FLAT = 1e-12  # returns nearer to 0 are rounding
+
+
+def periods_per_year(curve: DataFrame, timeframe_seconds: float | None = None, given: float | None = None, k: Keys = KEYS) -> DataFrame:
+    """By symbol: ``years`` that the curve spans and ``ppy``: the given figure, else bars per year as they came, else those of the timeframe around the clock, else 252."""
+    t = F.unix_micros(F.col("time").cast("timestamp")) / 1e6
+    years = (F.max(t) - F.min(t)) / YEAR_SECONDS
+    n = F.count("equity")
+    chain = [F.lit(float(given))] if given and given > 0 else [F.when((years > 0) & (n > 1), (n - 1) / years)]
+    chain += [F.lit(YEAR_SECONDS / timeframe_seconds)] if timeframe_seconds else []
+    return curve.groupBy(*k.by).agg(years.alias("years"), F.coalesce(*chain, F.lit(252.0)).alias("ppy"), n.alias("bars"))
+
+
+def phases(curve: DataFrame, k: Keys = KEYS) -> DataFrame:
+    """Mean size and days of the close-to-close run-ups and draw-downs of an equity curve, by symbol.
+
+    A bar at or above the peak so far is dry, any other under water. A draw-down goes from a dry bar over its trough to the next dry
+    bar; a run-up from the trough before (at first the curve's beginning) to the dry bar at which water comes or the curve ends.
+    """
+    days = lambda a, b: (F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))) / 86_400e6
+    peak = F.max("equity").over(k.upto().rowsBetween(Window.unboundedPreceding, -1))
+    dry = F.coalesce(F.col("equity") >= peak, F.lit(True))
+    marked = curve.select(*k.by, "time", "equity", dry.alias("_dry")).withColumn("_island", F.sum(F.col("_dry").cast("int")).over(k.upto()))
+    wet = lambda x: F.when(~F.col("_dry"), x)
+    low = F.min(wet(F.struct("equity", "time")))
+    islands = marked.groupBy(*k.by, "_island").agg(
+        F.max(F.when(F.col("_dry"), F.col("equity"))).alias("top"), F.max(F.when(F.col("_dry"), F.col("time"))).alias("at"), low["equity"].alias("low"), low["time"].alias("low_at"),
+    )
+    w = Window.partitionBy(*k.by).orderBy("_island")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    first = w.rowsBetween(Window.unboundedPreceding, 0)
+    staged = islands.select(
+        *k.by, "top", "at", "low", F.lead("at").over(w).alias("_next"), F.coalesce(F.last("low", True).over(before), F.first("top").over(first)).alias("_from"),
+        F.coalesce(F.last("low_at", True).over(before), F.first("at").over(first)).alias("_since"),
+    )
+    down = F.col("low").isNotNull() & F.col("_next").isNotNull()
+    up = (F.col("low").isNotNull() | F.col("_next").isNull()) & (F.col("top") > F.col("_from"))
+    mean = lambda ok, x: F.coalesce(F.avg(F.when(ok, x)), F.lit(0.0))
+    return staged.groupBy(*k.by).agg(
+        mean(up, F.col("top") - F.col("_from")).alias("avg_runup"), mean(up, days("_since", "at")).alias("avg_runup_days"),
+        mean(down, F.col("top") - F.col("low")).alias("avg_drawdown"), mean(down, days("at", "_next")).alias("avg_drawdown_days"),
+    )
+
+
+def strategy_report(curve: DataFrame, ledger: DataFrame, capital: float, timeframe_seconds: float | None = None, given: float | None = None, risk_free: float = 0.0, k: Keys = KEYS) -> DataFrame:
+    """One row of metrics per symbol of a curve (bars with equity and position) and its closed trades; ratios without a denominator are 0, infinite ones na.
+
+    Draw-down percentages are close to close. Buying and holding begins at the price of the first trade, else at the second bar's open.
+    """
+    basis = periods_per_year(curve, timeframe_seconds, given, k)
+    before = F.lag("equity").over(k.bars())
+    peak, trough = F.max("equity").over(k.upto()), F.min("equity").over(k.upto())
+    staged = curve.withColumn("_i", F.row_number().over(k.bars())).select(
+        *k.by, "time", "open", "close", "equity", "_i", (div(F.col("equity"), before) - 1).alias("r"), (peak - F.col("equity")).alias("dd"), (100 * div(peak - F.col("equity"), peak)).alias("ddp"), (F.col("equity") - trough).alias("ru"), (F.col("position") != 0).cast("double").alias("in"),
+    )
+    bars = staged.groupBy(*k.by).agg(
+        F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.sqrt(F.avg(F.when(F.col("r") < -FLAT, F.col("r") * F.col("r")))).alias("down"), F.max("dd").alias("max_drawdown"), F.max("ddp").alias("max_drawdown_percent"), F.max("ru").alias("max_runup"),
+        F.avg("in").alias("in"), F.max_by("equity", "time").alias("final"), F.max(F.when(F.col("_i") == 2, F.col("open"))).alias("second"), F.max_by("close", "time").alias("last"), F.min_by("close", "time").alias("only"),
+    )
+    held = F.col("exit_bar") - F.col("entry_bar")
+    p = F.col("profit")
+    win, loss = p > 0, p < 0
+    trades = ledger.groupBy(*k.by).agg(
+        F.count(F.lit(1)).alias("trades"), F.sum(p).alias("net"), F.sum(F.when(win, p)).alias("won"), F.sum(F.when(loss, -p)).alias("lost"), F.max(F.when(win, p)).alias("best"), F.max(F.when(loss, -p)).alias("worst"), F.avg(F.when(win, p)).alias("mean_win"), F.avg(F.when(loss, -p)).alias("mean_loss"),
+        F.avg(held).alias("held"), F.avg(F.when(win, held)).alias("held_win"), F.avg(F.when(loss, held)).alias("held_loss"), F.min_by("entry_price", "entry_bar").alias("first_price"),
+    )
+    x = F.col
+    nought = lambda c: F.coalesce(c, F.lit(0.0))
+    root = F.sqrt("ppy")
+    excess = x("mean") - risk_free / x("ppy")
+    cagr_years = F.when(x("years") > 0, x("years")).otherwise(F.when(x("bars") > 1, x("bars") / x("ppy")))
+    cagr = nought(F.when((cagr_years > 0) & (x("final") > 0), (F.pow(x("final") / capital, 1 / cagr_years) - 1) * 100))
+    base = F.coalesce(F.when(x("first_price") > 0, x("first_price")), x("second"), x("only"))
+    hold = nought(F.when(base > 0, x("last") / base - 1))
+    net = nought(x("net"))
+    return basis.join(bars, list(k.by)).join(phases(curve, k), list(k.by)).join(trades, list(k.by), "left").select(
+        *k.by, x("ppy").alias("periods_per_year"), nought(div(excess, x("sd")) * root).alias("sharpe"), F.coalesce(div(excess, x("down")) * root, F.when(excess <= 0, 0.0)).alias("sortino"), (x("sd") * root * 100).alias("volatility_percent"),
+        cagr.alias("cagr_percent"), nought(div(cagr, x("max_drawdown_percent"))).alias("calmar"), (100 * x("in")).alias("exposure_percent"), nought(div(net, x("trades"))).alias("expectancy"),
+        nought(x("best")).alias("largest_win"), (-nought(x("worst"))).alias("largest_loss"), nought(x("held")).alias("avg_bars_in_trade"), nought(x("held_win")).alias("avg_bars_in_winners"), nought(x("held_loss")).alias("avg_bars_in_losers"),
+        nought(div(x("mean_win"), x("mean_loss"))).alias("avg_win_loss_ratio"), nought(100 * div(x("best"), x("won"))).alias("largest_win_percent_of_gross_profit"), nought(100 * div(x("worst"), x("lost"))).alias("largest_loss_percent_of_gross_loss"),
+        nought(100 * div(net, x("worst"))).alias("net_profit_percent_of_largest_loss"), (100 * net / capital).alias("return_on_capital_percent"), (100 * hold).alias("buy_hold_return_percent"), (capital * hold).alias("buy_hold_pnl"), (net - capital * hold).alias("outperformance"),
+        (100 * x("max_runup") / capital).alias("max_runup_percent_of_capital"), (100 * x("max_drawdown") / capital).alias("max_drawdown_percent_of_capital"), "max_runup", "max_drawdown", "max_drawdown_percent", "avg_runup", "avg_drawdown", "avg_runup_days", "avg_drawdown_days",
+    )
+
+
+def weighted_sleeves(curves: DataFrame, weights: dict[str, float], capital: float) -> DataFrame:
+    """Curves of sleeves that each had all the capital, scaled to their share of it; weights are normalised and must be positive."""
+    if not weights or any(not x > 0 for x in weights.values()) or not capital > 0:
+        raise ValueError("a portfolio needs symbols with positive weights and a positive capital")
+    total = sum(weights.values())
+    share = F.create_map(*[y for s, x in weights.items() for y in (F.lit(s), F.lit(x / total))])
+    return curves.where(F.col("symbol").isin(*weights)).withColumn("equity", F.col("equity") * share[F.col("symbol")])
+
+
+def portfolio_equity(curves: DataFrame, weights: dict[str, float], capital: float) -> DataFrame:
+    """time, equity of isolated sleeves on the union of their clocks, each with its share of the capital."""
+    total = sum(weights.values())
+    scaled = weighted_sleeves(curves, weights, capital)
+    share = F.create_map(*[y for s, x in weights.items() for y in (F.lit(s), F.lit(capital * x / total))])
+    w = Window.partitionBy("symbol").orderBy("time")
+    step = F.col("equity") - F.coalesce(F.lag("equity").over(w), share[F.col("symbol")])
+    per_time = scaled.withColumn("_step", step).groupBy("time").agg(F.sum("_step").alias("_step"))
+    return running_total(per_time, "time", "_step", "_gain").select("time", (F.col("_gain") + F.lit(float(capital))).alias("equity"))
+
+
+def portfolio_extremes(curve: DataFrame, width: str = "MONTH") -> DataFrame:
+    """The largest close-to-close draw-down and run-up of one portfolio curve: extremes of blocks first, then of the blocks, no window over all rows."""
+    block = F.date_trunc(width, F.col("time").cast("timestamp"))
+    inside = Window.partitionBy("_block").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    staged = curve.withColumn("_block", block)
+    ends = staged.groupBy("_block").agg(F.max("equity").alias("_hi"), F.min("equity").alias("_lo"))
+    ends = ends.select("_block", F.max("_hi").over(over).alias("_hi"), F.min("_lo").over(over).alias("_lo"))
+    peak, trough = F.greatest(F.max("equity").over(inside), F.col("_hi")), F.least(F.min("equity").over(inside), F.col("_lo"))
+    got = staged.join(ends, "_block").select((peak - F.col("equity")).alias("dd"), (F.col("equity") - trough).alias("ru"))
+    return got.agg(F.max("dd").alias("max_drawdown"), F.max("ru").alias("max_runup"))
+
+
 def buy_and_hold(bars: DataFrame) -> DataFrame:
     """The return of buying each symbol's second open and holding to its last close."""
     w = Window.partitionBy("symbol").orderBy("time")

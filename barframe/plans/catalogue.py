@@ -22,6 +22,7 @@ from barframe.operators import security as Q
 from barframe.operators import signals as G
 from barframe.operators import ta, timeframe
 from barframe.plans.programs import bracket_program, cross_program
+from barframe.plans.script_queries import register_all
 from barframe.sources.bars import event_bars, order_bars
 from barframe.streaming import bars as S2
 
@@ -257,7 +258,16 @@ def _build() -> None:
     upper = "CASE WHEN e.px < e.u THEN least(b.mid+b.w, e.u) ELSE b.mid+b.w END"
     st += rec("e1", "a4", "b.i=10", {"a": "b.mid-b.w", "u": "b.mid+b.w", "d": "CASE WHEN b.close > b.mid+b.w THEN -1 ELSE 1 END", "px": "b.close"}, {"a": lower, "u": upper, "d": f"CASE WHEN e.d=1 THEN (CASE WHEN b.close > ({upper}) THEN -1 ELSE 1 END) ELSE (CASE WHEN b.close < ({lower}) THEN 1 ELSE -1 END) END", "px": "b.close"}) + joined("e1", "b")
     recursive("supertrend", [R.Call(("line", "dir"), "supertrend", (3.0, 10))], {"line": "CASE WHEN d=-1 THEN a ELSE u END", "dir": "coalesce(d,1)"}, st, "e1j")
-    register("sar", lambda s, d: R.with_recursive(event_bars(s, d), [R.Call(("x",), "sar", (0.02, 0.02, 0.2))]).select("symbol", "time", r6(F.col("x")).alias("x")))
+    # the state of a stop: trend (1 below the price), extreme price, stop, speed; a step is written in layers
+    sar_row = f", v0 AS (SELECT *, lag(high) OVER {W} AS h1, lag(low) OVER {W} AS l1, lag(high,2) OVER {W} AS h2, lag(low,2) OVER {W} AS l2 FROM b)"
+    sar_step = (  # of (below, ext, y, speed, fresh) and a row: the stop moves, the trend may turn, the extreme may grow, two bars clamp
+        "SELECT symbol, i, nb AS below, CASE WHEN turn THEN CASE WHEN below THEN low ELSE high END WHEN better THEN CASE WHEN below THEN high ELSE low END ELSE ext END AS ext, CASE WHEN nb THEN least(ny, coalesce(l1, ny), coalesce(l2, ny)) ELSE greatest(ny, coalesce(h1, ny), coalesce(h2, ny)) END AS y,"
+        " CASE WHEN turn THEN 0.02::DOUBLE WHEN better THEN least(speed + 0.02::DOUBLE, 0.2::DOUBLE) ELSE speed END AS speed FROM (SELECT *, below <> turn AS nb, CASE WHEN turn THEN CASE WHEN below THEN greatest(high, ext) ELSE least(low, ext) END ELSE y1 END AS ny, NOT fresh AND NOT turn AND CASE WHEN below THEN high > ext ELSE low < ext END AS better"
+        " FROM (SELECT *, CASE WHEN below THEN y1 > low ELSE y1 < high END AS turn FROM (SELECT *, y + speed * (ext - y) AS y1 FROM ({0}))))"
+    )
+    sar_seed = "SELECT symbol, i, high, low, h1, l1, h2, l2, close > pc AS below, CASE WHEN close > pc THEN high ELSE low END AS ext, CASE WHEN close > pc THEN l1 ELSE h1 END AS y, 0.02::DOUBLE AS speed, true AS fresh FROM v0 WHERE i = 2"
+    sar_next = "SELECT v0.symbol, v0.i, high, low, h1, l1, h2, l2, e.below, e.ext, e.y, e.speed, false AS fresh FROM sar e JOIN v0 ON v0.symbol = e.symbol AND v0.i = e.i + 1"
+    bars_query("sar", {"x": (F.col("x"), "y")}, ctes=f"{sar_row}, sar AS ({sar_step.format(sar_seed)} UNION ALL {sar_step.format(sar_next)}), sj AS (SELECT b.*, sar.y FROM b LEFT JOIN sar USING (symbol, i))", source="sj", prepare=lambda d: R.with_recursive(d, [R.Call(("x",), "sar", (0.02, 0.02, 0.2))]))
     # --- na comparisons and scalars
     bars_query("na_comparisons", {"d": (div(F.col("x"), F.col("volume") - 1), "x/nullif(volume-1,0)"), "m": (mod(F.col("x"), F.lit(7.5)), "fmod(x,7.5::DOUBLE)")}, {
         "l": (lt("x", "open"), "coalesce(x<open,false)"), "g": (gt("x", "open"), "coalesce(x>open,false)"), "e": (eq("x", "close"), "coalesce(round(x*1e9)=round(close*1e9),false)"), "n": (ne("x", "close"), "coalesce(round(x*1e9)<>round(close*1e9),false)"),
@@ -271,7 +281,12 @@ def _build() -> None:
         "a2": (F.atan2("open", "close"), "atan2(open,close)"), "as_": (S.asin(c / 1000), "asin(close/1000)"), "ac": (S.acos(c / 1000), "acos(close/1000)"), "dg": (F.degrees(c / 100), "degrees(close/100)"), "ra": (F.radians("close"), "radians(close)"),
         "fc": (S.factorial(v), "factorial(volume::INT)::DOUBLE"),
     }, {"gd": (S.gcd(F.floor(c), F.lit(12)), "gcd(floor(close)::BIGINT, 12)")}, ctes=", n1 AS (SELECT *, CASE WHEN volume > 1 THEN close END AS x FROM b)", source="n1", prepare=nulls)
-    register("math_random", lambda s, d: event_bars(s, d).select("symbol", "time", r6(S.random(F.col("volume"), 0, 10)).alias("x")))
+    low32 = "4294967296::UBIGINT"
+    random_cte = (
+        f", n1 AS (SELECT *, (volume::UBIGINT + 1831565813::UBIGINT) % {low32} AS a FROM b), n2 AS (SELECT *, xor(a, a >> 15) * (a | 1::UBIGINT) % {low32} AS t FROM n1),"
+        f" n3 AS (SELECT *, xor(t, (t + xor(t, t >> 7) * (t | 61::UBIGINT) % {low32}) % {low32}) AS t2 FROM n2), n4 AS (SELECT *, xor(t2, t2 >> 14)::DOUBLE / 4294967296 AS u FROM n3)"
+    )
+    bars_query("math_random", {"x": (S.random(F.col("volume"), 0, 10), "u*10")}, ctes=random_cte, source="n4")
     text = "concat(symbol, '-', CAST(volume::INT AS VARCHAR), '-', symbol)"
     t = F.concat("symbol", F.lit("-"), v.cast("int").cast("string"), F.lit("-"), F.col("symbol"))
     bars_query("str_scalars", {"num": (S.str_tonumber(F.split(t, "-")[1]), "try_cast(split_part(t,'-',2) AS DOUBLE)")}, {
@@ -382,7 +397,7 @@ def _build() -> None:
     register(
         "metrics_summary", lambda s, d: G.equity_metrics(G.equity(held(event_bars(s, d)), 10_000.0), 8766.0).select("symbol", *[r6(F.col(x)).alias(x) for x in ("sharpe", "sortino", "volatility", "max_drawdown", "max_runup", "exposure")]),
         f"""WITH {BARS}{eq_cte}, e1 AS (SELECT *, equity/lag(equity) OVER {W} - 1 AS r, max(equity) OVER {CUM} - equity AS dd, equity - min(equity) OVER {CUM} AS ru FROM q2)
-        SELECT symbol, {q6('avg(r)/nullif(stddev_pop(r),0)*sqrt(8766)')} AS sharpe, {q6('avg(r)/nullif(sqrt(sum(CASE WHEN r<0 THEN r*r ELSE 0 END)/count(r)),0)*sqrt(8766)')} AS sortino, {q6('stddev_pop(r)*sqrt(8766)')} AS volatility, {q6('max(dd)')} AS max_drawdown, {q6('max(ru)')} AS max_runup, {q6('avg((pos<>0)::INT)')} AS exposure FROM e1 GROUP BY symbol""",
+        SELECT symbol, {q6('avg(r)/nullif(stddev_pop(r),0)*sqrt(8766)')} AS sharpe, {q6('avg(r)/nullif(sqrt(avg(r*r) FILTER (r < -1e-12)),0)*sqrt(8766)')} AS sortino, {q6('stddev_pop(r)*sqrt(8766)')} AS volatility, {q6('max(dd)')} AS max_drawdown, {q6('max(ru)')} AS max_runup, {q6('avg((pos<>0)::INT)')} AS exposure FROM e1 GROUP BY symbol""",
     )
     register(
         "buy_and_hold", lambda s, d: G.buy_and_hold(event_bars(s, d)).select("symbol", *[r6(F.col(x)).alias(x) for x in ("entry_price", "exit_price", "return")]),
@@ -405,6 +420,7 @@ def _build() -> None:
         "broker_equity", lambda s, d: B.equity_curve(marked(event_bars(s, d)), cross_program, B.Settings(initial_capital=10_000.0)).select("symbol", "time", r6(F.col("equity")).alias("equity")),
         ORACLE_SQL["equity_curve"],
     )
+    register_all(register, bars_query, ORACLE_SQL, {**globals(), "sig_cte": sig_cte, "turn_cte": turn_cte, "eq_cte": eq_cte, "held": held})
     register("broker_brackets", lambda s, d: B.backtest(marked(event_bars(s, d)), bracket_program, B.Settings(commission_value=0.1, slippage=2)).drop("max_runup", "max_drawdown"))
     register("broker_summary", lambda s, d: B.summary(marked(event_bars(s, d)), bracket_program, B.Settings(qty_type="percent_of_equity", qty_value=50.0)))
     register("portfolio_shared", lambda s, d: B.shared_portfolio(marked(event_bars(s, d)), cross_program, ["click", "view", "purchase"], B.Settings(initial_capital=5_000.0)).drop("max_runup", "max_drawdown"))
@@ -428,9 +444,8 @@ def _build() -> None:
         f"""WITH s1 AS (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events), s2 AS (SELECT *, sum((p IS NULL OR ts >= p + INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM s1),
         s3 AS (SELECT event_type AS symbol, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS ticks, {q6('sum(value)')} AS total FROM s2 GROUP BY event_type, g) SELECT * FROM s3 WHERE "end" <= (SELECT max(ts) FROM events)""",
     )
-    ta_day = lambda: F.hour("time") < 12
-    log = lambda s, d: event_bars(s, d).where(ta_day()).select("symbol", F.row_number().over(ta.KEYS.bars()).cast("long").alias("seq"), F.lit(0).cast("long").alias("bar"), F.lit("new").alias("op"), F.row_number().over(ta.KEYS.bars()).cast("long").alias("id"), F.lit("line").alias("type"), F.create_map(F.lit("x1"), F.col("volume").cast("int").cast("string")).alias("props"))
-    register("drawing_final_state", lambda s, d: D.final_state(log(s, d)).select("symbol", "type", "id", F.col("props")["x1"].alias("x1")), f"WITH {BARS}, l1 AS (SELECT symbol, row_number() OVER {W} AS id, volume::INT::VARCHAR AS x1 FROM b WHERE hour(time) < 12) SELECT symbol, 'line' AS type, id, x1 FROM l1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY id DESC) <= 50")
+    log = lambda s, d: event_bars(s, d).select("symbol", F.row_number().over(ta.KEYS.bars()).cast("long").alias("seq"), F.lit(0).cast("long").alias("bar"), F.lit("new").alias("op"), F.row_number().over(ta.KEYS.bars()).cast("long").alias("id"), F.lit("line").alias("type"), F.create_map(F.lit("x1"), F.col("volume").cast("int").cast("string")).alias("props"))
+    register("drawing_final_state", lambda s, d: D.final_state(log(s, d)).select("symbol", "type", "id", F.col("props")["x1"].alias("x1")), f"WITH {BARS}, l1 AS (SELECT symbol, row_number() OVER {W} AS id, volume::INT::VARCHAR AS x1 FROM b) SELECT symbol, 'line' AS type, id, x1 FROM l1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY id DESC) <= 50")
     bars_query("line_price", {"p": (D.line_price(F.lit(0.0), F.col("open"), F.lit(10.0), F.col("close"), F.lit(4.0)), "open + (close-open)*4/10")})
     bars_query("newest_bars", {"close": (c, "close")}, source=f"(SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 50)", prepare=lambda d: Q.bars_back(d, 50))
 
