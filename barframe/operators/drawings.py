@@ -27,7 +27,7 @@ GETTERS = {"line": ("x1", "y1", "x2", "y2"), "label": ("x", "y", "text"), "box":
 class Log:
     """Collects events inside a kernel and keeps what is there now; ids count from 1 in each log.
 
-    An object beyond its type's cap, counted from the newest, is no longer there, as in ``final_state``.
+    Where a new object exceeds its type's cap, the oldest is deleted for good.
     """
 
     def __init__(self, symbol: str, caps: dict[str, int] | None = None):
@@ -43,7 +43,7 @@ class Log:
         self.objects[id] = (kind, {k: v for k, v in props.items() if v is not None})
         held = self.all(kind)
         for old in held[: max(0, len(held) - self.caps[kind])]:
-            del self.objects[old]
+            self.delete(bar, kind, old)
         return id
 
     def all(self, kind: str) -> list[int]:

@@ -13,6 +13,8 @@ from barframe.operators import signals as G
 from barframe.plans.modules import from_mapping
 from barframe.plans.script import Script
 from barframe.sources.bars import event_bars
+from barframe.streaming import bars as S2
+from barframe.streaming.live import script_stream
 
 REQUESTS = """
 indicator("requests")
@@ -156,6 +158,16 @@ if bar_index % 3 == 0
 b = label.new(bar_index, l.get_y1(), "b")
 b.set_text(str.tostring(line.all.size()))
 """
+LIVE = """
+indicator("live")
+var int ups = 0
+if close > open
+    ups += 1
+plot(ta.sma(close, 5), "mean")
+plot(ups, "ups")
+plot(close[1], "before")
+plot(ta.highest(3) - ta.lowest(3), "wide")
+"""
 OUTPUTS = """
 indicator("outputs")
 p = plot(close, "close")
@@ -242,13 +254,21 @@ def register_all(register: Callable, bars_query: Callable, sql: dict[str, str],
         ever AS (SELECT symbol, max(pos) AS held FROM h2 GROUP BY symbol), r0 AS (SELECT lastbar.* EXCLUDE (n), totals.* EXCLUDE (symbol), totals.netprofit AS net, totals.closedtrades AS n, held FROM lastbar JOIN totals USING (symbol) JOIN ever USING (symbol))
         SELECT symbol, {', '.join(f'{q6(named[n])} AS {named[n]}' for n in reads)}, {', '.join(f'{q6(x)} AS {named[n]}' for n, x in ends.items())}, CASE WHEN pos=1 THEN 'long' ELSE '' END AS position_entry_name, 'USD' AS account_currency FROM r0""",
     )
+    # --- live: closed bars of a tick stream; a symbol's last bar is still open
+    def ticks(s: SparkSession, d: str) -> DataFrame:
+        return S2.tick_stream(s, d, "events.parquet").select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.col("event_id").alias("tie"))
+
+    register(
+        "script_live", lambda s, d: S2.replay(script_stream(ticks(s, d), Script(LIVE), every_tick=False)).where("confirmed").select("symbol", "time", "ticks", *[r6(F.col(n)).alias(n) for n in ("mean", "ups", "before", "wide")]),
+        f"WITH {bars_cte}, x1 AS (SELECT *, CASE WHEN i >= 5 THEN avg(close) OVER {frame(5)} END AS m, sum((close > open)::INT) OVER {cum} AS ups, max(high) OVER {frame(3)} - min(low) OVER {frame(3)} AS wide, max(i) OVER (PARTITION BY symbol) AS n FROM b) SELECT symbol, time, volume::BIGINT AS ticks, {q6('m')} AS mean, {q6('ups')} AS ups, {q6('pc')} AS before, {q6('CASE WHEN i >= 3 THEN wide END')} AS wide FROM x1 WHERE i < n",
+    )
     # --- drawings and outputs
     register(
         "script_drawings",
         lambda s, d: (lambda got: got.select("symbol", "type", "id", r6(F.col("props")["x1"]).alias("x1"), r6(F.col("props")["y1"]).alias("y1"), r6(F.col("props")["y2"]).alias("y2"), r6(F.col("props")["y"]).alias("y"), F.col("props")["text"].alias("text")))(D.final_state(Script(DRAWINGS).drawings(event_bars(s, d)))),
         # a bar makes two objects: line 2i-1, label 2i; of 50 lines at most, those of every third bar are gone
         f"""WITH {bars_cte}, made AS (SELECT *, (i-1) % 3 = 0 AS gone FROM b), kept AS (SELECT *, sum((NOT gone)::INT) OVER {cum} AS alive FROM made), there AS (SELECT *, least(alive, CASE WHEN gone THEN 49 ELSE 50 END) AS held FROM kept),
-        l AS (SELECT symbol, 'line' AS type, 2*i-1 AS id, {q6('i-1')} AS x1, {q6('low')} AS y1, {q6('close')} AS y2, NULL::DOUBLE AS y, NULL::VARCHAR AS text FROM made WHERE NOT gone QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= 50),
+        l AS (SELECT symbol, 'line' AS type, 2*i-1 AS id, {q6('i-1')} AS x1, {q6('low')} AS y1, {q6('close')} AS y2, NULL::DOUBLE AS y, NULL::VARCHAR AS text FROM made JOIN (SELECT symbol, arg_max(held, i) AS top FROM there GROUP BY symbol) USING (symbol) WHERE NOT gone QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= top),
         t AS (SELECT symbol, 'label' AS type, 2*i AS id, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1, NULL::DOUBLE AS y2, CASE WHEN NOT gone THEN {q6('low')} END AS y, held::INT::VARCHAR AS text FROM there QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= 50) SELECT * FROM l UNION ALL SELECT * FROM t""",
     )
     rows = {

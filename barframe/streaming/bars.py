@@ -1,12 +1,13 @@
 """The live path: ticks to bars and incremental indicators on Structured Streaming.
 
-Confirmed bars leave in append mode once the watermark closes their window; repainting bars in update mode. The indicators of a
-closed bar come from per-symbol state that holds each indicator's last output, so a stream gives what the batch gives.
+Confirmed bars leave in append mode once the watermark closes their window. The indicators of a closed bar come from per-symbol state
+that holds each indicator's last output, so a stream gives what the batch gives. Bars that repaint with every tick are in ``live``.
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -62,7 +63,10 @@ def with_state(bars: DataFrame, ema: tuple[int, ...] = (), rma: tuple[int, ...]
 
 def shared_folder(spark) -> str:
     """A fresh folder below the one that driver and executors share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.gettempdir() + '/checkpoints'}/stream-{uuid.uuid4().hex}"
 
 
 def replay(stream: DataFrame) -> DataFrame:
