@@ -68,13 +68,14 @@ def injected(bars: DataFrame, side: DataFrame, out: list[str], tf: str, chart_tf
 def cross_symbol(bars: DataFrame, other: DataFrame, tf: str, expr: Expr, out: list[str], chart_tf: str = "60", lookahead: bool = False) -> DataFrame:
     """Another symbol's columns by period: strictly before the bar's own without lookahead in a longer timeframe, else up to it.
 
-    ``other`` holds one symbol's bars, which every chart symbol sees.
+    ``other`` holds one symbol's bars, which every chart symbol sees: the periods that the chart has are looked up once, then joined.
     """
     strict = not lookahead and parse(tf).seconds > parse(chart_tf).seconds
-    side = expr(resample(other, tf)).withColumn("_key", F.col("bucket"))
-    names = bars.select("symbol").distinct().withColumnRenamed("symbol", "_name")
-    side = names.join(side.drop("symbol"), F.lit(True)).withColumnRenamed("_name", "symbol")
-    return _latest(bars.withColumn("_key", bucket("time", tf)), side, ["symbol"], out, strict, bars.columns)
+    side = expr(resample(other, tf)).select(F.lit(0).alias("_one"), F.col("bucket").alias("_key"), *out)
+    chart = bars.withColumn("_period", bucket("time", tf))
+    periods = chart.select(F.lit(0).alias("_one"), F.col("_period").alias("_key")).distinct().withColumn("_at", F.col("_key"))
+    seen = _latest(periods, side, ["_one"], out, strict, ["_at"])
+    return chart.join(seen, F.col("_period") == F.col("_at"), "left").select(*bars.columns, *out)
 
 
 def lower_timeframe(bars: DataFrame, lower: DataFrame, exprs: dict[str, Column]) -> DataFrame:

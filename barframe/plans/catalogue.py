@@ -298,10 +298,10 @@ def _build() -> None:
     }, ctes=f", t1 AS (SELECT *, {text} AS t FROM b)", source="t1")
     rgb = S.color_rgb(c % 256, o % 256, h % 256, 25)
     hexa = lambda x: f"printf('%02X', (floor(abs({x})+0.5::DOUBLE))::INT)"
-    bars_query("color_scalars", {"r": (S.color_r(rgb), "floor(fmod(close,256)+0.5::DOUBLE) "), "t": (S.color_t(rgb), "25")}, {
+    bars_query("color_scalars", {"r": (S.color_r(rgb), "least(floor(fmod(close,256)+0.5::DOUBLE),255)"), "t": (S.color_t(rgb), "25")}, {
         "rgb": (rgb, f"concat('#',{hexa('least(fmod(close,256),255)')},{hexa('least(fmod(open,256),255)')},{hexa('least(fmod(high,256),255)')},'BF')"),
         "new": (S.color_new(F.lit("#112233FF"), 50), "'#11223380'"), "named": (F.lit(S.COLORS["red"]), "'#F23645FF'"), "grad": (S.color_from_gradient("close", F.lit(0.0), F.lit(1e9), F.lit("#000000FF"), F.lit("#FFFFFFFF")), "'#000000FF'"),
-    }, source="(SELECT * FROM b WHERE fmod(close,256) < 255.5 AND fmod(open,256) < 255.5 AND fmod(high,256) < 255.5)", prepare=lambda d: d.where((c % 256 < 255.5) & (o % 256 < 255.5) & (h % 256 < 255.5)))
+    })
     parts = S.date_parts("time")
     bars_query("date_parts", {}, {n: (parts[n].cast("int"), s) for n, s in {"year": "year(time)::INT", "month": "month(time)::INT", "dayofmonth": "day(time)::INT", "dayofweek": "dayofweek(time)::INT+1", "hour": "hour(time)::INT", "minute": "minute(time)::INT", "second": "second(time)::INT", "weekofyear": "ceil(dayofyear(time)/7.0)::INT"}.items()})
     bars_query("timestamp_ctor", {}, {"t": (S.timestamp(F.year("time"), F.month("time"), F.lit(1), 6, 30).cast("timestamp_ntz"), "make_timestamp(year(time),month(time),1,6,30,0)")})
@@ -352,7 +352,7 @@ def _build() -> None:
     bars_query("matrix_linear_algebra", {
         "det": (r4d(X.det(md2)), f"round({det},4)"), "inv": (r4d(g(X.inv(md2), 0, 0)), f"round((close+7)/{det},4)"), "pinv": (r4d(g(X.pinv(md2), 0, 1)), f"round(-2/{det},4)"), "e0": (r4d(A.get(X.eigenvalues(md2), 0)), f"round({mid}+{disc},4)"), "e1": (r4d(A.get(X.eigenvalues(md2), 1)), f"round({mid}-{disc},4)"),
         "pw": (F.round(g(X.pow_(md2, 2), 0, 1), 3), "round(2*(open+1)+2*(close+7),3)"), "v0": (r4d(g(X.eigenvectors(md2), 0, 0)), f"round(2/sqrt(4+pow({mid}+{disc}-(open+1),2)),4)"),
-    }, {"rk": (X.rank(md2), "2")}, source=f"(SELECT * FROM b WHERE abs({det})>1)", prepare=lambda d: d.where(F.abs((F.col("open") + 1) * (F.col("close") + 7) - 4) > 1))
+    }, {"rk": (X.rank(md2), "2")})
     # --- requests
     daily = lambda late: f", d1 AS (SELECT symbol, floor(epoch(time)/86400)::BIGINT AS k, arg_max(close,time) AS dc, max(high) AS dh FROM b GROUP BY 1,2), d2 AS (SELECT *, avg(dc) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m0, row_number() OVER (PARTITION BY symbol ORDER BY k) AS n FROM d1), d3 AS (SELECT symbol, k, {late('dc')} AS dc, {late('dh')} AS dh, {late('CASE WHEN n>=3 THEN m0 END')} AS dm FROM d2), j1 AS (SELECT b.*, dc, dh, dm FROM b LEFT JOIN d3 ON d3.symbol=b.symbol AND d3.k=floor(epoch(b.time)/86400)::BIGINT)"
     expr = lambda d: d.select("*", F.col("close").alias("dc"), F.col("high").alias("dh"), ta.sma("close", 3).alias("dm"))
