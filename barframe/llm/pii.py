@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,8 @@ from barframe.llm.common import append_columns, cut, release, unwrapped, wrapped
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, CONTEXTS, GENERALISE, REMOVE = 6, 3, 0.6, 0.9
-#: Disclosing pairs or texts with terms in one broadcast, terms that a task counts before it passes them on.
-BLOCK_ROWS, COUNTED = 200_000, 200_000
+#: Disclosing pairs or texts with terms in one broadcast, terms that a task counts before it passes them on, bits of the largest filter.
+BLOCK_ROWS, COUNTED, FILTER_BITS = 200_000, 200_000, 1 << 27
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -155,13 +157,6 @@ def co_occurrence(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.select("text").mapInArrow(run, "entity string, term string, context long")
 
 
-def _blocks(df: DataFrame, rows: int, by: str) -> Iterator[list]:
-    """The rows in blocks that fit a broadcast, of a table that was cut before; an empty table is one empty block."""
-    n = max(1, -(-df.count() // rows))
-    for b in range(n):
-        yield (df if n == 1 else df.where(F.pmod(F.xxhash64(by), F.lit(n)) == b)).collect()
-
-
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """term, docs: in how many documents each term stands, over all documents."""
 
@@ -200,37 +195,93 @@ def disclosing(docs: DataFrame, window: int = WINDOW, contexts: int = CONTEXTS,
 
 
 def _terms_of_texts(docs: DataFrame, pairs: DataFrame, remove: float) -> DataFrame:
-    """pii_key, pii_spans: a text's hash and its disclosing terms as (term, share); other texts have no row."""
+    """pii_key, pii_spans: a text's hash and its disclosing terms as (term, share); other texts have no row.
+
+    One pass over the documents, whatever the number of pairs: up to ``BLOCK_ROWS`` they are broadcast; beyond, a filter of bounded size is,
+    and what passes it is joined with the pairs.
+    """
     docs = docs.select(F.xxhash64("text").alias("key"), "text")
-    out = None
-    for block in _blocks(pairs, BLOCK_ROWS, "term"):
-        by_term: dict[str, dict[str, float]] = {}
-        for r in block:
-            by_term.setdefault(r["term"], {})[r["entity"]] = r["share"]
-        shared = docs.sparkSession.sparkContext.broadcast(by_term)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            top = {term: max(of.values()) for term, of in known.items()}
-            for batch in batches:
-                rows = []
-                for key, t in zip(batch.column("key").to_pylist(), batch.column("text")):
-                    t = t.as_py()
-                    if t and (found := known.keys() & _terms(t)):
-                        held = {_value(kind, t[s:e]) for kind, s, e in entities(t)}
-                        for term in found:
-                            share = top[term] if top[term] >= remove else max((known[term][v] for v in held & known[term].keys()), default=None)
-                            if share is not None:
-                                rows.append((key, term, share))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["key", "term", "share"])
-            release()
-
-        part = docs.mapInArrow(run, "key long, term string, share double")
-        out = part if out is None else out.unionAll(part)
-    once = out.groupBy("key", "term").agg(F.max("share").alias("share"))
+    found = _by_broadcast(docs, pairs, remove) if pairs.count() <= BLOCK_ROWS else _by_join(docs, pairs, remove)
+    once = found.groupBy("key", "term").agg(F.max("share").alias("share"))
     return cut(once.groupBy(F.col("key").alias("pii_key")).agg(F.collect_list(F.struct("term", "share")).alias("pii_spans")))
 
 
+def _by_broadcast(docs: DataFrame, pairs: DataFrame, remove: float) -> DataFrame:
+    """key, term, share of the disclosing terms of every text."""
+    by_term: dict[str, dict[str, float]] = {}
+    for r in pairs.collect():
+        by_term.setdefault(r["term"], {})[r["entity"]] = r["share"]
+    shared = docs.sparkSession.sparkContext.broadcast(by_term)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        top = {term: max(of.values()) for term, of in known.items()}
+        for batch in batches:
+            rows = []
+            for key, t in zip(batch.column("key").to_pylist(), batch.column("text")):
+                t = t.as_py()
+                if t and (found := known.keys() & _terms(t)):
+                    held = {_value(kind, t[s:e]) for kind, s, e in entities(t)}
+                    for term in found:
+                        share = top[term] if top[term] >= remove else max((known[term][v] for v in held & known[term].keys()), default=None)
+                        if share is not None:
+                            rows.append((key, term, share))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["key", "term", "share"])
+        release()
+
+    return docs.mapInArrow(run, "key long, term string, share double")
+
+
+def _code(entity: str, term: str) -> int:
+    return zlib.crc32(term.encode(), zlib.crc32(entity.encode()))
+
+
+def _filter(rules: DataFrame, bits: int) -> bytes:
+    """A bitmap of the codes of (entity, term), made by the tasks and put together by words: at most bits / 64 rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.array([_code(*x) % bits for x in zip(batch.column("entity").to_pylist(), batch.column("term").to_pylist())], np.int64)
+            word, at = np.unique(codes >> 6, return_inverse=True)
+            mask = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(mask, at, np.uint64(1) << (codes & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    got = rules.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
+    return out.astype("<u8").tobytes()
+
+
+def _by_join(docs: DataFrame, pairs: DataFrame, remove: float) -> DataFrame:
+    """The same by a join; a rule without an entity holds in every text."""
+    top = pairs.groupBy("term").agg(F.max("share").alias("top"))
+    alone = top.where(F.col("top") >= remove).select(F.lit("").alias("entity"), "term", F.col("top").alias("share"))
+    rules = cut(pairs.join(top.where(F.col("top") < remove), "term").select("entity", "term", "share").unionByName(alone))
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * rules.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(rules, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_bits = shared.value
+        for batch in batches:
+            rows = []
+            for key, t in zip(batch.column("key").to_pylist(), batch.column("text")):
+                t = t.as_py()
+                if not t:
+                    continue
+                owners = {"": zlib.crc32(b"")} | {v: zlib.crc32(v.encode()) for v in (_value(kind, t[s:e]) for kind, s, e in entities(t))}
+                for term in _terms(t):
+                    raw = term.encode()
+                    for owner, start in owners.items():
+                        at = zlib.crc32(raw, start) % bits
+                        if held_bits[at >> 3] >> (at & 7) & 1:
+                            rows.append((key, term, owner))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["key", "term", "entity"])
+        release()
+
+    return docs.mapInArrow(run, "key long, term string, entity string").join(rules, ["entity", "term"]).select("key", "term", "share")
+
+
 _ORDER = (*KINDS, "generalise", "remove")
 
 
