@@ -163,6 +163,52 @@ def test_pii_no_pair_discloses(spark):
     assert all(("[EMAIL]" in clean[i]) == (i < 5) for i in range(40))
 
 
+def test_pii_many_pairs(spark, monkeypatch):
+    """Beyond one broadcast, pairs are joined: the same spans, with a filter that lets much through, too."""
+    people = [(f"p{i}.q@mail.example.com", " ".join(f"name{i}{c}" for c in "abc")) for i in range(12)]
+    texts = [f"{prose(15, 80 + k)} {people[k % 12][1]} {people[k % 12][0]} {prose(12, 200 + k)} {people[(k * 5) % 12][1].split()[k % 3]}" for k in range(48)] + [None, "", prose(30, 7), people[3][1], people[3][1]]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, term string").repartition(3)
+    want = {(x["doc_id"], str(x["pii_spans"])) for x in pii.annotate(docs).collect()}
+    assert any("generalise" in s or "remove" in s for _, s in want)
+    for bits in (1 << 27, 64):
+        monkeypatch.setattr(pii, "BLOCK_ROWS", 1)
+        monkeypatch.setattr(pii, "FILTER_BITS", bits)
+        assert {(x["doc_id"], str(x["pii_spans"])) for x in pii.annotate(docs).collect()} == want
+
+
+def brute_shares_of_terms(texts, window=6):
+    """The shares of all pairs, counted one document after the other."""
+    n, own, with_term, both = len(texts), collections.Counter(), collections.Counter(), collections.defaultdict(lambda: [0, set()])
+    for t in texts:
+        t = t or ""
+        words = [(m.group().lower(), m.start(), m.end()) for m in pii._TERM.finditer(t)]
+        spans = pii.entities(t)
+        with_term.update({w for w, _, _ in words})
+        seen = {}
+        for kind, s, e in spans:
+            value = pii._value(kind, t[s:e])
+            before, after = [w for w in words if w[2] <= s][-window:], [w for w in words if w[1] >= e][:window]
+            near = [w[0] for w in before + after if not any(w[1] < e2 and s2 < w[2] for _, s2, e2 in spans)]
+            seen.setdefault((value, None), None)
+            for w in near:
+                seen.setdefault((value, w), (value, *near))
+        own.update(v for v, w in seen if w is None)
+        for (v, w), context in seen.items():
+            if w is not None:
+                both[v, w][0] += 1
+                both[v, w][1].add(context)
+    return {(v, w): math.log(k * len(c) / (len(c) + 3) / own[v] * n / with_term[w]) / math.log((n + 1) / own[v]) for (v, w), (k, c) in both.items()}
+
+
+def test_pii_shares(spark):
+    """Disclosure shares against the formula over plain counts."""
+    texts = [f"{prose(8, k % 9)} anna schmidt {'x' if k % 3 else 'y'}@example.com {prose(7, 100 + k % 7)}" for k in range(30)] + [prose(40, k) for k in range(40)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {(r["entity"], r["term"]): r["share"] for r in pii.disclosing(docs, generalise=-99.0).collect()}
+    want = brute_shares_of_terms(texts)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want) and max(want.values()) > 0.3
+
+
 def test_sanitise_keeps_columns(docs, empty):
     got = by_id(pii.sanitise(docs))
     assert set(got[0]) == set(docs.columns) and got[0]["text"] is None and got[0]["n_chars"] is None
