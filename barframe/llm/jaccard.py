@@ -45,7 +45,7 @@ FREQUENT, BROADCAST_IDS, SMALL = 1 << 19, 1 << 17, 64
 #: Least count of a token within a task to be counted at all; rounds that verify only the nearest pairs.
 LEAST_COUNT, LEVELS = 2, 1
 #: Bytes hashed at once, tokens counted at once, partners of a hub in one unit, members of a block, rows of texts in an Arrow batch.
-PART_BYTES, COUNT_TOKENS, UNIT, BLOCK = 1 << 20, 1 << 22, 64, 4096
+PART_BYTES, COUNT_TOKENS, UNIT, BLOCK = 1 << 20, 1 << 22, 64, 1024
 #: Keys of more rows are joined by broadcast (there are at most rows / HOT of them); combinations up to which empty ones count.
 HOT, SURE = 1000, 32
 
