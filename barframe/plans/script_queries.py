@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barframe.operators import drawings as D
 from barframe.operators import security as Q
 from barframe.operators import signals as G
+from barframe.operators.magnifier import magnified
 from barframe.plans.modules import from_mapping
 from barframe.plans.script import Script
 from barframe.sources.bars import event_bars
@@ -262,6 +263,14 @@ def register_all(register: Callable, bars_query: Callable, sql: dict[str, str],
         "script_live", lambda s, d: S2.replay(script_stream(ticks(s, d), Script(LIVE), every_tick=False)).where("confirmed").select("symbol", "time", "ticks", *[r6(F.col(n)).alias(n) for n in ("mean", "ups", "before", "wide")]),
         f"WITH {bars_cte}, x1 AS (SELECT *, CASE WHEN i >= 5 THEN avg(close) OVER {frame(5)} END AS m, sum((close > open)::INT) OVER {cum} AS ups, max(high) OVER {frame(3)} - min(low) OVER {frame(3)} AS wide, max(i) OVER (PARTITION BY symbol) AS n FROM b) SELECT symbol, time, volume::BIGINT AS ticks, {q6('m')} AS mean, {q6('ups')} AS ups, {q6('pc')} AS before, {q6('CASE WHEN i >= 3 THEN wide END')} AS wide FROM x1 WHERE i < n",
     )
+    # --- finer bars inside chart bars
+    register(
+        "magnifier_buckets",
+        lambda s, d: (lambda b: magnified(Q.resample(b, "240").drop("bucket"), b, "240", cap=500).select("symbol", "time", "coverage", F.size("lower").cast("long").alias("n"), r6(F.aggregate("lower", F.lit(0.0), lambda a, x: a + x["close"])).alias("total")))(event_bars(s, d)),
+        f"""WITH {bars_cte}, c0 AS (SELECT symbol, min(time) AS t FROM b GROUP BY symbol, floor(epoch(time)/14400)), c1 AS (SELECT symbol, t, least(t + INTERVAL 4 HOUR, coalesce(lead(t) OVER (PARTITION BY symbol ORDER BY t), t + INTERVAL 4 HOUR)) AS e FROM c0),
+        j AS (SELECT c1.symbol, c1.t, b.close, row_number() OVER (PARTITION BY c1.symbol ORDER BY b.time DESC) <= 500 AS kept FROM c1 JOIN b ON b.symbol=c1.symbol AND b.time>=c1.t AND b.time<c1.e), g AS (SELECT symbol, t, bool_and(kept) AS whole, count(*) AS n, sum(close) AS s FROM j GROUP BY symbol, t)
+        SELECT symbol, t AS time, CASE WHEN whole THEN 'available' ELSE 'cap' END AS coverage, CASE WHEN whole THEN n ELSE 0 END AS n, {q6('CASE WHEN whole THEN s ELSE 0 END')} AS total FROM g""",
+    )
     # --- drawings and outputs
     register(
         "script_drawings",
