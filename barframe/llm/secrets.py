@@ -6,14 +6,13 @@ postings by document gives each rule's candidates, and only these are searched w
 mandatory trigrams scan every document. Candidates are broadcast behind a check of their count, else joined.
 
 Spans count code points, ends exclusive; matches are leftmost and do not overlap within a rule, and a match that fails the
-rule's length test is dropped without a retry. A null text is empty. Repeated rows are searched one by one.
+rule's length test is dropped without a retry. A null or empty text has no match; very long texts are searched whole. Repeated rows are searched
+one by one. Spans that begin at one place are listed by rule. An empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +53,108 @@ BROADCAST_ROWS, SPELL, CLASS = 200_000, 48, 6
 Query = frozenset | bool  # a set of alternatives, each a frozenset of trigrams; True: every document
 
 
+class Reader:
+    """The part of regular expressions that rules use, as sequences of nodes.
+
+    ("chars", members or None if they are many), ("either", sequences), ("repeat", least, most, sequence); what has no width is left out.
+    """
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def peek(self) -> str:
+        return self.text[self.at : self.at + 1]
+
+    def take(self, n: int = 1) -> str:
+        self.at += n
+        return self.text[self.at - n : self.at]
+
+    def alternatives(self) -> list[list]:
+        out = [self.sequence()]
+        while self.peek() == "|":
+            self.take()
+            out.append(self.sequence())
+        return out
+
+    def sequence(self) -> list:
+        out: list = []
+        while self.peek() not in ("", "|", ")"):
+            node = self.atom()
+            low, high = self.times()
+            if node is not None:
+                out.append(node if (low, high) == (1, 1) else ("repeat", low, high, [node]))
+        return out
+
+    def atom(self):
+        c = self.take()
+        if c == "(":
+            return self.group()
+        if c == "[":
+            return ("chars", self.members())
+        if c == "\\":
+            return self.escape()
+        return None if c in "^$" else ("chars", None if c == "." else frozenset(c))
+
+    def group(self):
+        around = False
+        if self.peek() == "?":
+            self.take()
+            head = next((h for h in ("i:", ":", "<!", "<=", "!", "=") if self.text.startswith(h, self.at)), None)
+            if head is None:
+                raise ValueError(f"a group that rules do not use: {self.text[self.at - 2 :][:8]}")
+            self.take(len(head))
+            around = head in ("<!", "<=", "!", "=")
+        parts = self.alternatives()
+        self.take()
+        return None if around else ("either", parts)
+
+    def escape(self):
+        c = self.take()
+        if c == "x":
+            return ("chars", frozenset(chr(int(self.take(2), 16))))
+        if c in "bB":
+            return None
+        return ("chars", None if c in "dDwWsS" else frozenset(c))
+
+    def members(self) -> frozenset | None:
+        many = self.peek() == "^"
+        found: set[str] = set()
+        first = True
+        while first or self.peek() != "]":
+            first, c = False, self.take()
+            one = self.escape()[1] if c == "\\" else frozenset(c)
+            if one is None:
+                many = True
+                continue
+            (low,) = one
+            if self.peek() == "-" and self.text[self.at + 1 : self.at + 2] != "]":
+                self.take()
+                found |= {chr(x) for x in range(ord(low), ord(self.take()) + 1)}
+            else:
+                found.add(low)
+        self.take()
+        return None if many else frozenset(found)
+
+    def times(self) -> tuple[int, float]:
+        c, low, high = self.peek(), 1, 1.0
+        if c and c in "*+?":
+            self.take()
+            low, high = {"*": (0, float("inf")), "+": (1, float("inf")), "?": (0, 1)}[c]
+        elif c == "{":
+            first, comma, last = self.text[self.at + 1 : self.text.index("}", self.at)].partition(",")
+            self.at = self.text.index("}", self.at) + 1
+            low = int(first or 0)
+            high = low if not comma else int(last) if last else float("inf")
+        else:
+            return 1, 1
+        if self.peek() in ("?", "+") and self.peek():
+            self.take()
+        return low, high
+
+
 def trigram_query(pattern: str) -> Query:
     """Alternatives of trigrams, one of which stands whole in the lower-cased text of every match; True if there are none."""
-    return _query(_parser.parse(pattern))
+    return _query([("either", Reader(pattern).alternatives())])
 
 
 def _both(a: Query, b: Query) -> Query:
@@ -81,31 +179,18 @@ def _of(strings: set[str]) -> Query:
     return True if not all(out) else _least(out)
 
 
-def _spelled(tree) -> set[str] | None:
-    """The strings that a part of an expression can match, lower-cased, if they are few."""
+def _spelled(sequence: list) -> set[str] | None:
+    """The strings that a sequence can match, lower-cased, if they are few."""
     now = {""}
-    for op, arg in tree:
-        if op is C.LITERAL:
-            step = {chr(arg).lower()}
-        elif op is C.IN and all(o in (C.LITERAL, C.RANGE) for o, _ in arg):
-            step = set()
-            for o, a in arg:
-                span = range(a, a + 1) if o is C.LITERAL else range(a[0], a[1] + 1)
-                if len(span) + len(step) > CLASS:
-                    return None
-                step |= {chr(x).lower() for x in span}
-        elif op is C.SUBPATTERN:
-            step = _spelled(arg[-1])
-        elif op is C.BRANCH:
-            parts = [_spelled(x) for x in arg[1]]
+    for node in sequence:
+        if node[0] == "chars":
+            step = None if node[1] is None or len(node[1]) > CLASS else {c.lower() for c in node[1]}
+        elif node[0] == "either":
+            parts = [_spelled(x) for x in node[1]]
             step = None if None in parts else set().union(*parts)
-        elif op is C.MAX_REPEAT and arg[1] <= 5:
-            one = _spelled(arg[2])
-            step = None if one is None else {"".join(p) for k in range(arg[0], arg[1] + 1) for p in _power(one, k)}
-        elif op in (C.ASSERT_NOT, C.AT):
-            step = {""}
         else:
-            return None
+            one = _spelled(node[3]) if node[2] <= 5 else None
+            step = None if one is None else {"".join(p) for k in range(node[1], node[2] + 1) for p in _power(one, k)}
         if step is None:
             return None
         now = {a + b for a in now for b in step}
@@ -123,11 +208,11 @@ def _power(strings: set[str], k: int) -> list[tuple]:
     return out
 
 
-def _query(tree) -> Query:
+def _query(sequence: list) -> Query:
     query: Query = True
     run = {""}
-    for item in tree:
-        one = _spelled([item])
+    for node in sequence:
+        one = _spelled([node])
         if one is not None:
             longer = {a + b for a in run for b in one}
             if len(longer) <= SPELL:
@@ -137,16 +222,13 @@ def _query(tree) -> Query:
         if one is not None:
             run = one
             continue
-        op, arg = item
-        if op is C.SUBPATTERN:
-            query = _both(query, _query(arg[-1]))
-        elif op is C.BRANCH:
+        if node[0] == "either":
             part: Query = frozenset()
-            for x in arg[1]:
+            for x in node[1]:
                 part = _either(part, _query(x))
             query = _both(query, part)
-        elif op is C.MAX_REPEAT and arg[0] >= 1:
-            query = _both(query, _query(arg[2]))
+        elif node[0] == "repeat" and node[1] >= 1:
+            query = _both(query, _query(node[3]))
     return _both(query, _of(run))
 
 
