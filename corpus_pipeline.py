@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept, and returns the columns of documents;
 the last returns the packed pieces. ``run`` writes every stage as Parquet to the shared checkpoint folder and rereads it.
+
+In every stage rows with a null or empty text stay (they hold nothing that a stage looks for), very long texts are read whole, rows without
+a doc_id stay as their own, and further columns, whatever their names, are kept as they are. Repeated rows get one decision each, but for near copies:
+of rows that are linked or equal the one with the smallest doc_id stays, of equal rows of that id one. Two different texts under one id are judged
+each by itself. Of ties in a score all rows share the decision. An empty table gives an empty table.
 """
 
 from __future__ import annotations
