@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from barframe.llm.common import cut, drop, release
 
 QUERY_BLOCK = 4096
-BITS = 5
+BITS = 8
 #: Rows and queries whose bounds are in memory at once.
 CELL_ROWS, CELL_QUERIES = 2048, 512
 _LONG = (1 << 63) - 1
