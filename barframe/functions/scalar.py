@@ -282,5 +282,11 @@ def date_parts(time) -> dict[str, Column]:
     }
 
 
+def timestamp_of(text) -> Column:
+    """A time written as date, or date and time, UTC; na where it cannot be read."""
+    t = F.trim(col(text))
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")]).cast("timestamp_ntz")
+
+
 def timestamp(year, month, day, hour=0, minute=0, second=0, tz: str = "UTC") -> Column:
     return F.try_make_timestamp(*[col(x).cast("int") for x in (year, month, day, hour, minute)], col(second).cast("decimal(8,6)"), F.lit(tz))

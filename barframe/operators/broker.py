@@ -681,6 +681,8 @@ def shared_portfolio(bars: DataFrame, program: Program, basket: list[str], setti
     """
     if not basket or len(set(basket)) != len(basket) or settings.initial_capital <= 0:
         raise ValueError("a basket needs distinct symbols and a positive capital")
+    if "lower" in bars.columns:
+        raise ValueError("a shared pot does not look into finer bars")
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(_rank=rows["symbol"].map(basket.index)).sort_values(["time", "_rank"], kind="stable")

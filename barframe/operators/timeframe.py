@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from barframe.na import col
@@ -102,6 +102,18 @@ def session_flags(k: Keys = KEYS) -> dict[str, Column]:
     return {"isfirstbar": F.coalesce(d != k.lag(d), F.lit(True)), "islastbar": F.coalesce(d != F.lead(d).over(k.bars()), F.lit(True))}
 
 
+def last_bar(k: Keys = KEYS) -> dict[str, Column]:
+    """Of the symbol's last bar, at every bar: its index and its time; and the day of the bar itself."""
+    whole = k.bars().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return {"last_bar_index": F.count(F.lit(1)).over(whole) - 1, "last_bar_time": F.max("time").over(whole), "time_tradingday": F.date_trunc("day", F.col("time")).cast("timestamp_ntz")}
+
+
+def chart_point(time=None, index=None, price=None) -> Column:
+    """A point of the chart; what is not given is na."""
+    part = lambda x, kind: F.lit(None).cast(kind) if x is None else col(x).cast(kind)
+    return F.struct(part(time, "timestamp_ntz").alias("time"), part(index, "long").alias("index"), part(price, "double").alias("price"))
+
+
 def bar_state(k: Keys = KEYS) -> dict[str, Column]:
     first, last = k.lag(F.col("time")).isNull(), F.lead("time").over(k.bars()).isNull()
     return {"isfirst": first, "islast": last, "ishistory": F.lit(True), "isrealtime": F.lit(False), "isnew": F.lit(True), "isconfirmed": F.lit(True), "islastconfirmedhistory": last}

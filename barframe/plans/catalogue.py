@@ -305,6 +305,11 @@ def _build() -> None:
     parts = S.date_parts("time")
     bars_query("date_parts", {}, {n: (parts[n].cast("int"), s) for n, s in {"year": "year(time)::INT", "month": "month(time)::INT", "dayofmonth": "day(time)::INT", "dayofweek": "dayofweek(time)::INT+1", "hour": "hour(time)::INT", "minute": "minute(time)::INT", "second": "second(time)::INT", "weekofyear": "ceil(dayofyear(time)/7.0)::INT"}.items()})
     bars_query("timestamp_ctor", {}, {"t": (S.timestamp(F.year("time"), F.month("time"), F.lit(1), 6, 30).cast("timestamp_ntz"), "make_timestamp(year(time),month(time),1,6,30,0)")})
+    ends, point = timeframe.last_bar(), timeframe.chart_point("time", ta.KEYS.index(), "high")
+    bars_query("clock_names", {"p": (point["price"], "high")}, {
+        "li": (ends["last_bar_index"], "count(*) OVER (PARTITION BY symbol) - 1"), "lt": (ends["last_bar_time"], "max(time) OVER (PARTITION BY symbol)"), "td": (ends["time_tradingday"], "date_trunc('day', time)::TIMESTAMP"), "pi": (point["index"], "i - 1"), "pn": (timeframe.chart_point(price="low")["time"].isNull(), "true"),
+        "tx": (S.timestamp_of(F.date_format("time", "yyyy-MM-dd HH:mm")), "time"), "ty": (S.timestamp_of(F.date_format("time", "yyyy-MM-dd")), "date_trunc('day', time)::TIMESTAMP"), "tn": (S.timestamp_of(F.lit("no time")).isNull(), "true"),
+    })
     bars_query("session_filter", {}, {"day": (timeframe.in_session("time", "0930-1600:23456"), "(hour(time)*60+minute(time) >= 570 AND hour(time)*60+minute(time) < 960 AND dayofweek(time) BETWEEN 1 AND 5)"), "night": (timeframe.in_session("time", "2200-0400"), "(hour(time)*60+minute(time) >= 1320 OR hour(time)*60+minute(time) < 240)")})
     bars_query("timeframe_change", {}, {"day": (timeframe.change("1D"), "coalesce(time::DATE <> pt::DATE, true)"), "h4": (timeframe.change("240"), "coalesce(floor(epoch(time)/14400) <> floor(epoch(pt)/14400), true)")}, ctes=f", p1 AS (SELECT *, lag(time) OVER {W} AS pt FROM b)", source="p1")
     flags = timeframe.session_flags()
