@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def new(size=0, initial=None, kind: str = "float") -> Column:
     return F.array_repeat(col(x).cast(_TYPES[kind]) if not isinstance(x, str) else F.lit(x), F.greatest(col(size).cast("int"), F.lit(0)))
 
 
+#: Arrays of one kind; colours are texts, drawings the numbers by which a log knows them.
+new_float, new_int, new_bool, new_string, new_color = (partial(new, kind=k) for k in ("float", "int", "bool", "string", "color"))
+new_line, new_label, new_box, new_table, new_linefill = (partial(new, kind=k) for k in ("line", "label", "box", "table", "linefill"))
+
+
 def from_(*items) -> Column:
     return F.array(*[col(x) for x in items])
 

@@ -337,6 +337,12 @@ def _build() -> None:
         "fil": (j(A.fill("a", F.lit(0.0), 1, 3)), js("list_transform(a, lambda y, n: CASE WHEN n IN (2,3) THEN 0.0::DOUBLE ELSE y END)")), "abs": (j(A.abs_("a")), js("list_transform(a, lambda y: abs(y))")), "new": (j(A.new(3, 2.0)), js("[2.0::DOUBLE,2.0::DOUBLE,2.0::DOUBLE]")), "frm": (j(A.from_("open", "close")), js("[open,close]")),
         "six": (A.join(A.sort_indices("a")), "array_to_string(list_transform(list_sort(list_transform(a, lambda y, n: {'v': y, 'n': n-1})), lambda s: s.n), ',')"), "std": (j(A.standardize("a")), js("list_transform(a, lambda y: coalesce((y-list_avg(a))/nullif(list_stddev_pop(a),0),0))")),
     }, ctes=acte, source="a1", prepare=arr)
+    kinds = {"float": (2.5, "2.5"), "int": (7, "7"), "bool": (True, "true"), "string": ("s", "s"), "color": ("#112233FF", "#112233FF"), **{k: (n, str(n)) for n, k in enumerate(("line", "label", "box", "table", "linefill"), 1)}}
+    said = lambda x: F.concat_ws(",", F.transform(x, lambda v: v.cast("string")))
+    bars_query("array_kinds", {}, {**{f"new_{k}": (said(getattr(A, f"new_{k}")(2, x)), f"'{t},{t}'") for k, (x, t) in kinds.items()}, **{f"empty_{k}": (F.size(getattr(A, f"new_{k}")()), "0") for k in kinds}, "na": (F.size(F.filter(A.new_float(3), lambda v: v.isNull())), "3")})
+    bars_query("array_lookups", {"c": (A.sum_(A.copy("a")), "list_sum(a)")}, {
+        "li": (A.lastindexof("a", F.col("close")).cast("long"), "5::BIGINT"), "ln": (A.lastindexof("a", F.lit(-1.0)).cast("long"), "-1::BIGINT"), "bs": (A.binary_search(A.sort("a"), A.get(A.sort("a"), 2)).cast("long"), "list_position(list_sort(a), list_sort(a)[3])::BIGINT - 1"), "cl": (A.size(A.clear("a")), "0"),
+    }, ctes=acte, source="a1", prepare=arr)
     mp1 = M.put(M.put(F.create_map(F.lit("a"), F.col("open")), F.lit("b"), F.col("close")), F.lit("a"), F.col("high"))
     bars_query("map_functions", {"a": (M.get(mp1, F.lit("a")), "high"), "b": (M.get(mp1, F.lit("b")), "close"), "z": (M.get(mp1, F.lit("z")), "NULL::DOUBLE"), "pa": (M.get(M.put_all(mp1, F.create_map(F.lit("b"), F.col("low"))), F.lit("b")), "low"), "vs": (A.sum_(M.values(mp1)), "high+close")}, {
         "has": (M.contains(mp1, F.lit("b")), "true"), "n": (M.size(mp1), "2"), "ks": (F.array_join(M.keys(mp1), ","), "'a,b'"), "rm": (F.array_join(M.keys(M.remove(mp1, F.lit("a"))), ","), "'b'"), "cl": (M.size(M.clear(mp1)), "0"), "cp": (M.size(M.copy(mp1)), "2"), "nw": (M.size(M.new()), "0"),
@@ -349,6 +355,10 @@ def _build() -> None:
         "sb": (g(X.submatrix(m, 1, 2, 0, 2), 0, 1), "close"), "kr": (g(X.kron(m, m), 0, 3), "high*high"), "rv": (g(X.reverse(m), 0, 0), "close"), "st": (g(X.set_(m, 0, 0, F.lit(5.0)), 0, 0), "5"), "so": (g(X.sort(m, 0), 0, 0), "least(open,low)"), "cc": (g(X.concat(m, m), 3, 1), "close"), "rr": (g(X.remove_row(m, 0), 0, 0), "low"), "rc": (g(X.remove_col(m, 0), 0, 0), "high"),
         "ar": (g(X.add_row(m, F.array("open", "close"), 0), 0, 1), "close"), "acl": (g(X.add_col(m, F.array("open", "close"), 0), 1, 0), "close"), "fl": (g(X.fill(m, 0.0, 0, 1), 0, 1), "0"), "cl": (A.get(X.col_(m, F.lit(1)), 1), "close"), "rw": (A.get(X.row(m, F.lit(1)), 1), "close"), "oo": (g(m, 5, 0), "NULL::DOUBLE"),
     }, {"r": (X.rows(m), "2"), "c": (X.columns(m), "2"), "n": (X.elements_count(m), "4"), "sq": (X.is_square(m), "true"), "sy": (X.is_symmetric(m), "high=low"), "ze": (X.is_zero(m), "open=0 AND high=0 AND low=0 AND close=0"), "dg": (X.is_diagonal(m), "high=0 AND low=0"), "ad": (X.is_antidiagonal(m), "open=0 AND close=0"), "as_": (X.is_antisymmetric(m), "open=0 AND close=0 AND high=-low"), "bn": (X.is_binary(m), "open IN (0,1) AND high IN (0,1) AND low IN (0,1) AND close IN (0,1)"), "tg": (X.is_triangular(m), "low=0 OR high=0"), "sto": (X.is_stochastic(m), "open>=0 AND high>=0 AND low>=0 AND close>=0 AND abs(open+high-1)<=1e-10 AND abs(low+close-1)<=1e-10"), "id": (X.is_identity(m), "open=1 AND close=1 AND high=0 AND low=0")})
+    few = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(2.0), F.col("close")))
+    bars_query("matrix_small", {"nw": (g(X.new(2, 3, 4.0), 1, 2), "4"), "cp": (g(X.copy(m), 1, 0), "low"), "mo": (X.mode(few), "CASE WHEN close = 1 THEN 1 ELSE 2 END"), "tan": (F.tan("close"), "tan(close)")}, {
+        "nr": (X.rows(X.new(2, 3)), "2"), "cg": (S.color_g(F.lit("#102030FF")).cast("int"), "32"), "cb": (S.color_b(F.lit("#102030FF")).cast("int"), "48"), "em": (X.elements_count(X.new()), "0"),
+    })
     md2 = F.array(F.array(F.col("open") + 1, F.lit(2.0)), F.array(F.lit(2.0), F.col("close") + 7))
     det = "((open+1)*(close+7)-4)"
     mid = "((open+1)+(close+7))/2"

@@ -15,7 +15,7 @@ NAMES = [
     "na_comparisons", "math_scalars", "str_scalars", "color_scalars", "array_reducers", "array_edits", "map_functions", "matrix_basic", "matrix_linear_algebra", "security_htf_off", "security_cross_symbol", "security_injected_close", "security_lower_tf",
     "trade_ledger", "metrics_summary", "portfolio_union_clock", "portfolio_merged_ledger", "broker_backtest", "broker_equity", "bars_stream_vs_batch", "ema_stream_vs_batch", "stream_sessions", "drawing_final_state",
     "sar", "math_random", "script_security_off_columns", "script_security_off_kernel", "script_security_on_columns", "script_security_on_kernel", "script_security_other", "script_lower_tf", "script_dates_columns", "script_dates_kernel", "script_flow", "script_matrix",
-    "script_arrays", "script_libraries", "script_libraries_kernel", "script_trades", "script_reads", "script_live", "magnifier_buckets", "clock_names", "script_drawings", "script_outputs", "strategy_report", "portfolio_weights", "portfolio_extremes",
+    "script_arrays", "script_libraries", "script_libraries_kernel", "script_trades", "script_reads", "script_live", "magnifier_buckets", "clock_names", "array_kinds", "array_lookups", "matrix_small", "script_drawings", "script_outputs", "strategy_report", "portfolio_weights", "portfolio_extremes",
 ]
 
 
