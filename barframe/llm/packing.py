@@ -31,7 +31,7 @@ CAPACITY = 2048
 WINDOWS = 128
 CHUNK = 512
 END_ID = 1
-CACHE_PIECES = 400_000
+CACHE_PIECES, OUT_ROWS = 100_000, 1024
 
 #: Characters that Python's and the tokenizer's classes of letters, digits and white space agree on.
 _ODD = re.compile("[^\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-Ɂ]")
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: i
                     start, load = start + n, load + n
                     if load == windows * capacity:
                         close()
-                if len(rows) >= 4096:
+                if len(rows) >= OUT_ROWS:
                     yield out()
         close()
         if rows:
