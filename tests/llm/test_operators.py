@@ -688,3 +688,31 @@ def test_jaccard_hubs(spark, monkeypatch, levels):
     words = other.split()
     texts += [" ".join(words[: 200 - 7 * k]) for k in range(14)]  # shorter and shorter beginnings: links only between neighbours
     check_components(spark, [texts[i] for i in r.permutation(len(texts))])
+
+
+def test_jaccard_large_groups(spark, monkeypatch):
+    """A large group of equal texts, a large one of edited texts, unrelated texts with a long common passage: hot keys, blocks and units at work."""
+    for name, value in (("HOT", 5), ("BLOCK", 8), ("UNIT", 4), ("SMALL", 4), ("FREQUENT", 1000)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = np.random.default_rng(14)
+    base, second, common = prose(180, 71), prose(140, 72), prose(90, 73)
+    texts = [prose(70, 74)] * 60 + [edited(base, int(r.integers(0, 7)), r) for _ in range(80)] + [edited(second, int(r.integers(3, 9)), r) for _ in range(40)]
+    texts += [f"{common} {prose(int(r.integers(5, 14)), 500 + i)}" for i in range(50)] + [None, "", "two words"]
+    check_components(spark, [texts[i] for i in r.permutation(len(texts))])
+
+
+def test_token_combinations():
+    """Similar sets share a combination in the band where they meet; sets without a similar one may not."""
+    r = np.random.default_rng(15)
+    for similarity in (80, 90):
+        for n in (6, 12, 40, 300, 900):
+            for _ in range(30):
+                a = r.choice(1 << 40, n, replace=False).astype(np.int64)
+                most = int(2 * n * (100 - similarity) / (100 + similarity))
+                gone = int(r.integers(0, most // 2 + 1))
+                b = np.concatenate([a[gone:], r.choice(1 << 40, gone, replace=False).astype(np.int64) + (1 << 41)])
+                shared = len(np.intersect1d(a, b))
+                if 100 * shared >= similarity * (2 * n - shared):
+                    assert set(jaccard.combinations(np.sort(a), similarity).tolist()) & set(jaccard.combinations(np.sort(b), similarity).tolist())
+                x, y = jaccard.parity(a), jaccard.parity(b)
+                assert jaccard.distance(x, y) <= len(np.setxor1d(a, b)) and jaccard.distance(jaccard.parity(a[: n // 2 + 1]), x) <= n - n // 2 - 1
