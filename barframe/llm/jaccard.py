@@ -410,7 +410,7 @@ def _unfinished(buckets: DataFrame, bitmaps: DataFrame, graph: DataFrame | None,
 
         def compared() -> Iterator[pa.RecordBatch]:
             """Open members (first in their block) against all that are at home in it."""
-            size = min(len(x[3]) for x in held)
+            size = min(len(x[3]) for x in held + asked)  # either may be the smaller
             fold = lambda bits: np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
             bits = np.stack([fold(x[3]) for x in held])
             wide = bits.view(np.uint64)

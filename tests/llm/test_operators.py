@@ -701,6 +701,18 @@ def test_jaccard_large_groups(spark, monkeypatch):
     check_components(spark, [texts[i] for i in r.permutation(len(texts))])
 
 
+@pytest.mark.parametrize("similarity", [80])
+def test_jaccard_blocks_of_bitmaps_of_two_sizes(spark, monkeypatch, similarity):
+    """An open member whose bitmap is smaller than all bitmaps at home in the block that it meets."""
+    monkeypatch.setattr(jaccard, "BLOCK", 1)
+    tokens = np.random.default_rng(17).integers(-(1 << 62), 1 << 62, 68)
+    sets = [np.sort(tokens[:n]) for n in (62, 63, 64, 65, 66, 67, 68, 64)]  # of 128 bits up to 64 tokens, of 256 beyond
+    buckets = spark.createDataFrame([(7, i) for i in range(len(sets))], "key long, node long")
+    bitmaps = spark.createDataFrame([(i, len(s), jaccard.parity(s)) for i, s in enumerate(sets)], "node long, n long, bits binary")
+    got = sorted(map(tuple, jaccard._unfinished(buckets, bitmaps, None, similarity).collect()))
+    assert got == [(i, j, jaccard.distance(jaccard.parity(a), jaccard.parity(b))) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j]
+
+
 def test_token_combinations():
     """Similar sets share a combination in the band where they meet; sets without a similar one may not."""
     r = np.random.default_rng(15)
