@@ -701,7 +701,7 @@ def test_jaccard_large_groups(spark, monkeypatch):
     check_components(spark, [texts[i] for i in r.permutation(len(texts))])
 
 
-@pytest.mark.parametrize("similarity", [80])
+@pytest.mark.parametrize("similarity", [80, 90])
 def test_jaccard_blocks_of_bitmaps_of_two_sizes(spark, monkeypatch, similarity):
     """An open member whose bitmap is smaller than all bitmaps at home in the block that it meets."""
     monkeypatch.setattr(jaccard, "BLOCK", 1)
